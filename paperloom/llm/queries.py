@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from paperloom.llm import addresses, names, ocr_repair, packing, pairs, tokens, truncation
+from paperloom.llm import addresses, names, ocr_repair, packing, pairs, pii, tokens, truncation
 
 
 def queries() -> dict:
     return {
+        "p1_found": pii.p1_found,
+        "p1_sanitised": pii.p1_sanitised,
         "p2_found": addresses.p2_found,
         "p2_locations": addresses.p2_locations,
         "p3_found": pairs.p3_found,
