@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIM = 64
+_WS = re.compile(r"[ \t\n\f\r]+")
 
 
 def strip(c) -> Column:
@@ -50,17 +52,21 @@ def bucket(token: str, dim: int = DIM) -> int:
 
 def embed_one(text: str | None, dim: int = DIM) -> list[float] | None:
     """Deterministic stand-in for a text embedding: hashed counts of words, unit length; None without words."""
-    words = [w for w in (text or "").lower().replace("\x0b", " ").split() if w]
+    words = [w for w in _WS.split((text or "").lower()) if w]
     if not words:
         return None
     v = np.bincount([bucket(w, dim) for w in words], minlength=dim).astype(float)
     return (v / math.sqrt(float((v * v).sum()))).tolist()
 
 
-@F.pandas_udf("array<double>")
-def embed(text: pd.Series) -> pd.Series:
+def embed(c) -> Column:
     """The default embedding provider; a real model is another Arrow UDF of this signature."""
-    return text.map(embed_one)
+
+    @F.pandas_udf("array<double>")
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(embed_one)
+
+    return run(c)
 
 
 def parse_score(c, default: float) -> Column:

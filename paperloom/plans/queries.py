@@ -2,4 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict[str, tuple] = {}
+from paperloom.plans import q_search
+
+QUERIES: dict[str, tuple] = {**q_search.Q}
