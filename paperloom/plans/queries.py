@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from paperloom.plans import q_search
+from paperloom.plans import q_rules, q_search
 
-QUERIES: dict[str, tuple] = {**q_search.Q}
+QUERIES: dict[str, tuple] = {**q_search.Q, **q_rules.Q}
