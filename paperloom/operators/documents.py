@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.session import cut
+
 # Patterns of invoice fields and line items.
 DATE = r"\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}|\d{4}[/\-.]\d{2}[/\-.]\d{2}|[A-Za-z]+\s+\d{1,2},?\s*\d{4}"
 INVOICE = {
@@ -70,8 +72,8 @@ BLOCKS = "array<struct<Id:string,BlockType:string,Text:string,Confidence:double,
 
 
 def blocks(df: DataFrame, key: str, body: str) -> DataFrame:
-    """One row a block of the responses."""
-    return df.select(key, F.explode(F.from_json(body, BLOCKS)).alias("b")).select(key, "b.*")
+    """One row a block of the responses; written once, as several joins read it."""
+    return cut(df.select(key, F.explode(F.from_json(body, BLOCKS)).alias("b")).select(key, "b.*"))
 
 
 def _edges(b: DataFrame, key: str, kind: str) -> DataFrame:
