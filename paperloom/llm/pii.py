@@ -81,6 +81,7 @@ _LEFT = re.compile(
     rf"(?:\d{{5}}{_SEP}{_TOWN}{_SEP}(?:{_UNIT}{_SEP})?|(?:{_TOWN}{_SEP})?(?:{_REGION}{_SEP})?(?:\d{{5}}|{_UK}){_SEP}(?:{_REGION}{_SEP})?(?:{_UNIT}{_SEP})?|(?:{_TOWN}\s*[,;]\s*)?{_REGION}{_SEP}(?:{_UNIT}{_SEP})?|{_UNIT}{_SEP}(?:{_REGION}{_SEP})?)$"
 )
 _LEFT_TOWN = re.compile(rf"({_TOWN})(\s*[,;]\s*|\s+[-–]\s+)(?:{_UNIT}{_SEP})?$")
+_HOUSE = re.compile(r"(?<![\w.-])\d{1,4}[A-Da-d]?\b(?![.,]\d)")
 _LOWER = re.compile(r"(?<![\w.-])(?:\d{1,4}[a-d]?,?\s+(?:[a-zß-ÿ'’.]+\s+){1,5}?(?:street|str|avenue|ave|av|boulevard|blvd|court|ct|drive|drv|dr|lane|ln|road|rd)\b|\d{1,4}[a-d]?,?\s+(?:rue|r\.)\s+d|calle\s+d|[a-zß-ÿ]{3,}(?:stra(?:ß|ss|s)e|str\.?)\s+\d)")
 _LOWER_POST = re.compile(r"\b(?:\d{5}|[a-z]{1,2}\d[a-z\d]?\s?\d[a-z]{2})\b")
 
@@ -130,7 +131,10 @@ def numbers(t: str) -> list[tuple[str, int, int]]:
 def addresses(t: str) -> list[tuple[int, int]]:
     """Addresses in mixed or upper case, and those in lower case that have a postcode."""
     out = cased_addresses(t)
-    for m in _LOWER.finditer(t):
+    for n in _HOUSE.finditer(t):
+        m = _LOWER.match(t, n.start()) or next((x for x in _LOWER.finditer(t, max(0, n.start() - 40), n.end()) if x.end() > n.start()), None)
+        if m is None:
+            continue
         if any(a <= m.start() < e for a, e in out):
             continue
         lo, hi = max(0, m.start() - 40), min(len(t), m.end() + 90)
@@ -149,7 +153,14 @@ def addresses(t: str) -> list[tuple[int, int]]:
 
 
 def cased_addresses(t: str) -> list[tuple[int, int]]:
-    anchors = [(m.start(), m.end()) for p in (_ENGLISH_ANY, _ENGLISH_ZIP, _FRENCH, _SPANISH, _GERMAN, _GERMAN_ZIP) for m in p.finditer(t)]
+    anchors = []
+    for n in _HOUSE.finditer(t):  # every street stands beside a house number
+        a, e = n.span()
+        anchors += [m.span() for p in (_ENGLISH_ANY, _ENGLISH_ZIP, _FRENCH) if (m := p.match(t, a))]
+        if t[a - 1 : a].isspace() or t[a - 1 : a] == ",":
+            lo = max(0, a - 60)
+            anchors += [(m.start() + lo, m.end() + lo) for p in (_SPANISH, _GERMAN) for m in p.finditer(t[lo:e]) if m.end() + lo == e]
+            anchors += [m.span() for m in _GERMAN_ZIP.finditer(t, lo, e + 40) if m.end() == e]
     out: list[tuple[int, int]] = []
     for a, e in sorted(anchors, key=lambda x: (x[0], -x[1])):
         if out and a < out[-1][1]:
@@ -203,6 +214,8 @@ def candidates(t: str) -> Iterator[tuple[int, int, str, str, str, bool]]:
 
     def link(i: int, j: int) -> str | None:
         gap = t[caps[i][1] : caps[j][0]]
+        if gap == " " or gap == "\n":
+            return "s"
         if len(gap) > 24:
             return None
         g = gap.lower()
