@@ -66,7 +66,7 @@ _EN = r"(?:street|str|st|avenue|avenu|ave|av|boulevard|blvd|boul|court|crt|ct|dr
 _ENGLISH_ANY = re.compile(rf"(?<![\w.-]){_NUM}\s+(?:(?:North|South|East|West|NORTH|SOUTH|EAST|WEST|[NSEW]\.?)\s+)?(?:{_W}\s+){{1,3}}?(?i:{_EN})\b\.?")
 _ROMANCE_ART = r"(?:(?:de|du|des|del|la|las|le|les|los|el)\s+|(?:d|l)['’]\s?)"
 _FRENCH = re.compile(rf"(?<![\w.-]){_NUM}\s*,?\s+(?i:rue|r\.|avenue|av\.|boulevard|bd|place|quai|chemin|impasse|all[ée]e)\s+(?i:{_ROMANCE_ART})*{_W}(?:\s+{_W})?")
-_SPANISH = re.compile(rf"(?<!\w)(?i:calle|c/|avenida|avda\.?|plaza|paseo|camino)\s*(?i:{_ROMANCE_ART})*{_W}(?:\s+{_W})?\s*,?\s*(?i:n[ºo°]\.?\s*)?{_NUM}\b")
+_SPANISH = re.compile(rf"(?<!\w)(?i:calle|c/|cl\.|c\.|avenida|avda\.?|plaza|paseo|camino)\s*(?i:{_ROMANCE_ART})*{_W}(?:\s+{_W})?\s*,?\s*(?i:n[ºo°]\.?\s*)?{_NUM}\b")
 _GERMAN = re.compile(rf"(?<!\w)[A-ZÄÖÜ][\wäöüß]{{2,}}(?i:-?str(?:a(?:ß|ss|s)e|\.|)|-?stra?ß?s?e|weg|gasse|allee|platz)\s+{_NUM}\b")
 _GERMAN_ZIP = re.compile(rf"(?<!\w)[A-ZÄÖÜ][\wäöüß-]{{6,}}\.?\s+{_NUM}(?=(?:\s*[,;]\s*|\s+[-–]\s+|\s+)(?:(?i:etage|et\.|stock)\s+\d+(?:\s*[,;]\s*|\s+[-–]\s+|\s+))?\d{{5}}\s)")
 _SEP = r"(?:\s*[,;]\s*|\s+[-–]\s+|\s+)"
@@ -76,14 +76,16 @@ _REGION = r"(?:" + "|".join(sorted(x.upper() for x in REGIONS)) + r")\b"
 _COUNTRY = r"(?:USA\b|U\.\s?S\.\s?A\.|U\.\s?S\.|US\b|UK\b|U\.K\.|GB\b|(?i:united states(?: of america)?|united kingdom|great britain|germany|deutschland|france|frankreich|spain|españa|spanien)\b|DE\b|FR\b|ES\b)"
 _TOWN = r"[A-ZÀ-Þ][\w'’]{4,}\b"
 _RIGHT = re.compile(rf"(?P<unit>{_SEP}{_UNIT})|(?P<zip>{_SEP}\d{{5}}\b(?P<ziptown>{_SEP}{_TOWN})?)|(?P<uk>{_SEP}{_UK})|(?P<region>{_SEP}{_REGION})|(?P<country>{_SEP}{_COUNTRY})|(?P<town>\s*[,;]\s*{_TOWN}|\s+[-–]\s+{_TOWN}|\n\s*{_TOWN}|\s+{_TOWN}(?=\s*[,;]?\s*(?:\d{{5}}\b|{_UK}|{_REGION}))|\s+{_TOWN}(?=\s+(?:did|came|und|depuis|with|at)\b))")
-_ENGLISH_ZIP = re.compile(rf"(?<![\w.-]){_NUM}\s+(?:{_W}\s+){{1,3}}{_W}\.?(?={_SEP}(?:{_UNIT}{_SEP})?{_TOWN}{_SEP}(?:{_REGION}{_SEP}\d{{5}}\b|{_UK}))")
+_ENGLISH_ZIP = re.compile(rf"(?<![\w.-]){_NUM}\s+(?:{_W}\s+){{1,3}}{_W}\.?(?={_SEP}(?:{_UNIT}{_SEP})?{_TOWN}{_SEP}(?:{_REGION}|{_UK}))")
 _LEFT = re.compile(
     rf"(?:\d{{5}}{_SEP}{_TOWN}{_SEP}(?:{_UNIT}{_SEP})?|(?:{_TOWN}{_SEP})?(?:{_REGION}{_SEP})?(?:\d{{5}}|{_UK}){_SEP}(?:{_REGION}{_SEP})?(?:{_UNIT}{_SEP})?|(?:{_TOWN}\s*[,;]\s*)?{_REGION}{_SEP}(?:{_UNIT}{_SEP})?|{_UNIT}{_SEP}(?:{_REGION}{_SEP})?)$"
 )
 _LEFT_TOWN = re.compile(rf"({_TOWN})(\s*[,;]\s*|\s+[-–]\s+)(?:{_UNIT}{_SEP})?$")
 _HOUSE = re.compile(r"(?<![\w.-])\d{1,4}[A-Da-d]?\b(?![.,]\d)")
-_LOWER = re.compile(r"(?<![\w.-])(?:\d{1,4}[a-d]?,?\s+(?:[a-zß-ÿ'’.]+\s+){1,5}?(?:street|str|avenue|ave|av|boulevard|blvd|court|ct|drive|drv|dr|lane|ln|road|rd)\b|\d{1,4}[a-d]?,?\s+(?:rue|r\.)\s+d|calle\s+d|[a-zß-ÿ]{3,}(?:stra(?:ß|ss|s)e|str\.?)\s+\d)")
-_LOWER_POST = re.compile(r"\b(?:\d{5}|[a-z]{1,2}\d[a-z\d]?\s?\d[a-z]{2})\b")
+_CAPITAL = re.compile(r"[A-ZÀ-Þ]")
+_SMALL = set("de del la las los el des du le les l d the of and at in on is was did not und came with that for to".split())
+_LOWER = re.compile(r"(?<![\w.-])(?:\d{1,4}[a-d]?,?\s+(?:[a-zß-ÿ'’.]+\s+){1,5}?(?:street|str|avenue|avenu|ave|av|boulevard|boul|blvd|court|crt|ct|drive|drv|dr|lane|ln|la|road|rd)\b|\d{1,4}[a-d]?,?\s+(?:rue|r\.)\s+d|(?:calle|c/|cl\.|c\.)\s*de[^\d\n]{1,40}\d|[a-zß-ÿ]{3,}(?:stra(?:ß|ss|s)e|str\.?)\s+\d)")
+_LOWER_POST = re.compile(r"\b(?:\d{5}|[a-z]{1,2}\d[a-z\d]?\s?\d[a-z]{2})\b|,\s*(?:" + "|".join(sorted(REGIONS - {"de", "la", "in", "or", "me", "hi", "ok", "co", "id", "ma", "pa", "al"})) + r")\b|,\s*(?:or|pa|co)(?=[\s,;]*\d{5})|,\s*(?:or|pa|co)(?=;| came| did|\s*$)")
 
 
 def emails(t: str) -> list[tuple[int, int]]:
@@ -101,8 +103,7 @@ def numbers(t: str) -> list[tuple[str, int, int]]:
     out = [("id_number", m.start(), m.end()) for m in _CODE.finditer(t)]
     for m in _NUMBER.finditer(t):
         s, a = m[0], m.start()
-        digits = sum(c.isdigit() for c in s)
-        if digits < 9:
+        if len(s) < 9 or (digits := sum(map(str.isdigit, s))) < 9:
             continue
         # a number of a list or line in front of the real one
         while (cutoff := re.match(r"\d{1,8}\s+(?=[\d(+])", s)) and not _SSN.fullmatch(s) and not _TAX.fullmatch(s) and s[0] not in "0+(" and not _US.fullmatch(re.sub(r"\s+", " ", s)):
@@ -132,22 +133,26 @@ def addresses(t: str) -> list[tuple[int, int]]:
     """Addresses in mixed or upper case, and those in lower case that have a postcode."""
     out = cased_addresses(t)
     for n in _HOUSE.finditer(t):
-        m = _LOWER.match(t, n.start()) or next((x for x in _LOWER.finditer(t, max(0, n.start() - 40), n.end()) if x.end() > n.start()), None)
+        a, e = n.span()
+        m = _LOWER.match(t, a) if t[e : e + 4].lstrip(" ,\n")[:1].islower() else None
+        if m is None and t[a - 1 : a].isspace():
+            m = next((x for x in _LOWER.finditer(t, max(0, a - 45), e) if x.end() > a), None)
         if m is None:
             continue
         if any(a <= m.start() < e for a, e in out):
             continue
         lo, hi = max(0, m.start() - 40), min(len(t), m.end() + 90)
         window = t[lo:hi]
-        if not _LOWER_POST.search(window):
+        sure = not window[m.start() - lo : m.end() - lo][:1].isdigit()  # the word for the street is unmistakable
+        if not sure and not _LOWER_POST.search(window):
             continue
-        cased = re.sub(r"[^\W\d_]+", lambda w: w[0].upper() if len(w[0]) == 2 and w[0] in REGIONS else w[0].capitalize() if w[0].islower() and len(w[0]) > 3 else w[0], window)
-        cased = re.sub(r"\b[a-z]{1,2}\d[a-z\d]?\s?\d[a-z]{2}\b", lambda w: w[0].upper(), cased)
+        cased = re.sub(r"\b[a-z]{1,2}\d[a-z\d]?\s?\d[a-z]{2}\b", lambda w: w[0].upper(), window)
+        cased = re.sub(r"[^\W\d_]+", lambda w: w[0].upper() if len(w[0]) == 2 and w[0] in REGIONS and w[0] not in _SMALL else w[0].capitalize() if w[0].islower() and w[0] not in _SMALL else w[0], cased)
         if len(cased) != len(window):
             continue
         for a, e in cased_addresses(cased):
             s = window[a:e]
-            if a <= m.end() - lo and e >= m.start() - lo and _LOWER_POST.search(s) and not any(a + lo < y and e + lo > x for x, y in out):
+            if a <= m.end() - lo and e >= m.start() - lo and (sure or _LOWER_POST.search(s)) and not any(a + lo < y and e + lo > x for x, y in out):
                 out.append((a + lo, e + lo))
     return out
 
@@ -156,8 +161,12 @@ def cased_addresses(t: str) -> list[tuple[int, int]]:
     anchors = []
     for n in _HOUSE.finditer(t):  # every street stands beside a house number
         a, e = n.span()
-        anchors += [m.span() for p in (_ENGLISH_ANY, _ENGLISH_ZIP, _FRENCH) if (m := p.match(t, a))]
-        if t[a - 1 : a].isspace() or t[a - 1 : a] == ",":
+        after = t[e : e + 4].lstrip(" ,\n")[:1]
+        if after.isupper():
+            anchors += [m.span() for p in (_ENGLISH_ANY, _ENGLISH_ZIP) if (m := p.match(t, a))]
+        if after in "rRaAbBpPqQcCiI" and (m := _FRENCH.match(t, a)):
+            anchors.append(m.span())
+        if (t[a - 1 : a].isspace() or t[a - 1 : a] in ",º°.") and _CAPITAL.search(t, max(0, a - 40), a):
             lo = max(0, a - 60)
             anchors += [(m.start() + lo, m.end() + lo) for p in (_SPANISH, _GERMAN) for m in p.finditer(t[lo:e]) if m.end() + lo == e]
             anchors += [m.span() for m in _GERMAN_ZIP.finditer(t, lo, e + 40) if m.end() == e]
@@ -193,7 +202,7 @@ def cased_addresses(t: str) -> list[tuple[int, int]]:
                     a = m2.start()
         elif not town and (m := _LEFT_TOWN.search(t, lo, a)) and fold(m[1]) not in NEVER and not (m.start() > 1 and t[m.start() - 2] in ".!?"):
             a = m.start()
-        while e > a and t[e - 1] in ".,;" and not re.search(r"(?:U\.S\.|U\.K\.|U\.\s?S\.\s?A\.)$", t[a:e]):
+        while e > a and t[e - 1] in ".,;" and not (t[e - 1] == "." and re.match(r"[,;]|\s+[a-z]", t[e : e + 3])) and not re.search(r"(?:U\.S\.|U\.K\.|U\.\s?S\.\s?A\.)$", t[a:e]):
             e -= 1
         out.append((a, e))
     return out
