@@ -143,6 +143,10 @@ def parse(address: str | None) -> tuple | None:
         dirs = [DIRECTIONS[w] for w in name if w in DIRECTIONS and len(name) > 1]
         direction = dirs[0] if dirs else ""
         core = [w for w in name if w not in ARTICLES and not (w in DIRECTIONS and len(name) > 1)]
+        while kind in _LEAD.values() and len(core) > 1 and core[-1] in COUNTRIES:
+            core.pop()
+        if kind in _LEAD.values() and len(core) > 1 and len(core[-1]) > 7 and len(chunks) == 1:
+            left = [*left, core.pop()]  # no separator: the long last word is the town
         street = "".join(core) or "".join(name)
         if left:
             rest.append(left)

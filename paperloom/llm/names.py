@@ -32,7 +32,7 @@ EDITS = 1
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "sir", "herr", "frau", "mme", "mlle", "m", "sr", "sra", "srta", "don", "doña", "monsieur", "madame", "señor", "señora"}
 JUNIOR = {"jun", "jr", "junior", "ii", "iii", "fils", "hijo"}
 SENIOR = {"sen", "senior", "père"}
-PARTICLES = {"van", "von", "de", "der", "den", "del", "la", "le", "du", "di", "da", "zu", "o", "mc", "mac"}
+PARTICLES = {"van", "von", "de", "der", "den", "del", "la", "le", "du", "di", "da", "zu", "mc", "mac"}
 LEGAL = {"inc", "incorporated", "corp", "corporation", "llc", "ltd", "limited", "gmbh", "mbh", "ges", "sa", "société", "societe", "anonyme", "co", "company", "plc", "ag", "kg", "sarl", "and", "the", "und", "et", "y"}
 PERSON_FIELDS = {"claimant_name"}
 
@@ -176,7 +176,7 @@ class Lexicon:
                 if longer and len(w) < 8:
                     # the commonest word that starts so, else the commonest that has these letters
                     hit = max(longer, key=lambda f: (f.startswith(w), self.counts[f]))
-            if hit is None and len(w) > 4:
+            if hit is None and len(w) > 3:
                 hit = next((f for f in self.full if osa(w, f, 1) <= 1), None)
             self.memo[key] = hit
         return self.memo[key]
@@ -225,14 +225,15 @@ def parse_person(name: str, lex: Lexicon) -> tuple[str, list[str], str]:
         if first is None:
             first = next((i for i, f in enumerate(flags) if f), None)
         if first is None:
-            # an unknown given name: the last word is the family name, with its particles
-            end = len(words) - 1
-            while end > 1 and words[end - 1] in PARTICLES:
-                end -= 1
-            given, family = words[:end], words[end:]
+            # an unknown given name: the longest word is the family name, with its particles
+            end = max(range(len(words)), key=lambda i: len(words[i])) if words else 0
+            start = end
+            while start > 0 and words[start - 1] in PARTICLES:
+                start -= 1
+            family, given = words[start : end + 1], words[:start] + words[end + 1 :]
         elif first == 0:
             end = 1
-            while end < len(words) - 1 and len(words[end]) == 1 and words[end] not in ("o",):
+            while end < len(words) - 1 and len(words[end]) == 1:
                 end += 1
             given, family = words[:end], words[end:]
         else:
@@ -240,13 +241,13 @@ def parse_person(name: str, lex: Lexicon) -> tuple[str, list[str], str]:
             tail = [w for w in given if len(w) > 1 and not is_given(w)]
             if tail and len(words[0]) == 1:
                 family, given = tail, [w for w in words if w not in tail]
-    family = [w for w in family if len(w) > 1 or w == "o"] or family
+    family = [w for w in family if len(w) > 1] or family
     full = [w for w in given if len(w) > 1]
     first = full[0] if full else (given[0] if given else "")
     # initials in front of the family name after a full given name carry nothing here
     canonical = (lex.find(first, False) or first) if len(first) > 1 else first
     if len(canonical) > 2 and canonical not in lex.counts:
-        longer = [f for f in lex.full if f.startswith(canonical)]
+        longer = [f for f in lex.full if f.startswith(canonical) and lex.counts[f] > 1]
         canonical = longer[0] if len(longer) == 1 else canonical
     return "".join(family), [canonical], tags
 
@@ -304,6 +305,13 @@ def link_names(names: DataFrame, short_forms: DataFrame | None = None) -> DataFr
     else:
         people_g = seen.withColumn("h", F.lit(None).cast("string")).withColumn("only", F.lit(None).cast("string"))
     people_g = people_g.join(alias, ["name_field", "g"], "left").select("name_field", "root", "g", F.coalesce("h", "full", "only", "g").alias("given"))
+    # a rare form in a family with one person is that person
+    people_g = people_g.join(n_g, ["name_field", "g"]).withColumn("rare", (F.col("given") == F.col("g")) & (F.col("n_g") < 5))
+    lone = people_g.where(~F.col("rare")).groupBy("name_field", "root").agg(F.min("given").alias("lone"), F.countDistinct("given").alias("c")).where("c = 1").drop("c")
+    initial = F.substring("given", 1, 1).alias("i")
+    alike = people_g.where(~F.col("rare")).groupBy("name_field", "root", initial).agg(F.min("given").alias("alike"), F.countDistinct("given").alias("c")).where("c = 1").drop("c")
+    people_g = people_g.join(lone, ["name_field", "root"], "left").withColumn("i", initial).join(alike, ["name_field", "root", "i"], "left")
+    people_g = people_g.select("name_field", "root", "g", F.when(F.col("rare"), F.coalesce("lone", "alike", "given")).otherwise(F.col("given")).alias("given"))
     people_g = cut(people_g)
     # an initial means the one person of the family and tag that it fits
     full = people.join(people_g, ["name_field", "root", "g"]).select("name_field", "root", "tag", "given").distinct()

@@ -214,8 +214,8 @@ _GAP = re.compile(r"(\.?)([ \t]*\n?[ \t]*)((?:(?:van|von|de|del|der|den|du|di|la
 _BEFORE_PARTICLE = re.compile(r"(?<!\w)(?:(?:van|von|de|del|der|den|du|VAN|VON|DE|DEL|Van|Von|De)\s+)+$")
 
 
-def candidates(t: str) -> Iterator[tuple[int, int, str, str, str, bool]]:
-    """(start, end, given, family, words in front, follows a title) of every pair in the form of a name."""
+def candidates(t: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, given, family) of every pair in the form of a name; a comma leads the family of an inverted one."""
     caps = [(m.start(), m.end(), m[0]) for m in _CAP.finditer(t)]
     # upper-case particles are glue
     caps = [c for c in caps if not (c[2].lower() in PARTICLES and (c[2].isupper() or c[2] in ("Van", "Von")))]
@@ -244,7 +244,7 @@ def candidates(t: str) -> Iterator[tuple[int, int, str, str, str, bool]]:
                 j += 1
             f = caps[j][2]
             if len(f) > 2 and (len(w) == 1 or w.lower() not in TITLES):
-                yield s, caps[j][1], w, f, front(t, s), titled(t, s)
+                yield s, caps[j][1], w, f
         # inverted: family, given [initial]
         if i + 1 < n and len(w) > 2:
             gap = t[e : caps[i + 1][0]]
@@ -257,7 +257,7 @@ def candidates(t: str) -> Iterator[tuple[int, int, str, str, str, bool]]:
                     end = caps[j + 1][1] + (t[caps[j + 1][1] : caps[j + 1][1] + 2] in (". ", ".,") and not re.match(r"\.\s+[A-Z]", t[caps[j + 1][1] :]))
                 m = _BEFORE_PARTICLE.search(t, max(0, s - 16), s)
                 a = m.start() if m else s
-                yield a, end, caps[j][2], "," + w, front(t, a), titled(t, a)
+                yield a, end, caps[j][2], "," + w
 
 
 _DE = re.compile(r"(de|del|du)\s+", re.I)
@@ -291,11 +291,12 @@ def term_counts(texts: DataFrame, given: set[str]) -> DataFrame:
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                for _, e, g, f, ctx, title in candidates(t):
+                for s, e, g, f in candidates(t):
                     a, z = low(g), low(f)
                     if a in NEVER or z in NEVER:
                         continue
-                    seed = a in given or title
+                    ctx = front(t, s)
+                    seed = a in given or titled(t, s)
                     inv = f[0] == ","
                     keys = (("L", "", ctx), ("A", a, ctx), ("B", z, ctx), ("I" if inv else "O", "", ""))
                     for key in keys:
@@ -335,19 +336,20 @@ def disclosure(texts: DataFrame, given: set[str], share: float = SHARE) -> dict[
 def persons(t: str, given: set[str], bits: dict[tuple[str, str], float], threshold: float, low) -> list[tuple[int, int]]:
     found: list[tuple[float, int, int]] = []
     base = bits[("", "")]
-    for s, e, g, f, ctx, title in candidates(t):
+    for s, e, g, f in candidates(t):
         a, z = low(g), low(f)
         if a in NEVER or z in NEVER or z in TITLES or a in PARTICLES or z in PARTICLES:
             continue
+        at = s
         if f[0] == "," and (m := _DE.match(t, s)) and ("P", f"{m[1].lower()} {z}") not in bits:
             s = m.end()  # a preposition, not a particle of this family
         known = a in given
         fb = bits.get(("B", z))
-        lb = bits.get(("L", ctx), 0.0)
         ab = 6.0 if known else bits.get(("A", a), 0.0 if len(a) == 1 else -1.0)
-        score = base + max(-6.0, min(6.0, ab)) + max(-6.0, min(6.0, 0.0 if fb is None else fb)) + max(-4.0, min(6.0, lb)) + (6.0 if title else 0.0)
-        if f[0] == ",":
-            score -= 1.0
+        score = base + max(-6.0, min(6.0, ab)) + max(-6.0, min(6.0, 0.0 if fb is None else fb)) - (f[0] == ",")
+        if score + 12.0 <= threshold:
+            continue  # no context can make up for it
+        score += max(-4.0, min(6.0, bits.get(("L", front(t, at)), 0.0))) + (6.0 if titled(t, at) else 0.0)
         if score > threshold:
             found.append((score, s, e))
     out: list[tuple[int, int]] = []
@@ -363,7 +365,7 @@ def spans(t: str, given: set[str], bits: dict, threshold: float, low) -> list[tu
 
     def add(kind: str, found) -> None:
         for s, e in found:
-            if all(e <= b or s >= c for _, b, c in out):
+            if not out or all(e <= b or s >= c for _, b, c in out):
                 out.append((kind, s, e))
 
     add("email", emails(t))
