@@ -177,3 +177,91 @@ def split_segments(pages: DataFrame, key: str, least_pages: int = 1) -> DataFram
         g = g.withColumn("keep", keep.cast("int")).withColumn("seg", F.sum("keep").over(v))
         g = g.groupBy(key, "seg").agg(F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.sum("pages").alias("pages"), F.min("blank").alias("blank"))
     return g.withColumn("segment", F.row_number().over(Window.partitionBy(key).orderBy("seg")) - 1).drop("seg")
+
+
+# ---- words, reading order and tables without rules
+def words_of_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Word boxes of text lines (keys, text, left, top, width, height): a word takes its share of the line by characters."""
+    n = F.greatest(F.length("text"), F.lit(1))
+    w = lines.where(F.length("text") > 0).select("*", F.posexplode(F.split("text", " ")).alias("_i", "word"))
+    # characters in front of the word: those of the words before it and one blank each
+    before = F.aggregate(F.slice(F.split("text", " "), F.lit(1), F.col("_i")), F.lit(0), lambda a, x: a + F.length(x) + 1)
+    w = w.where(F.col("word") != "")
+    left = F.col("left") + F.col("width") * before / n
+    return w.select(*keys, "word", left.alias("left"), "top", (F.col("width") * F.length("word") / n).alias("width"), "height")
+
+
+def reading_lines(words: DataFrame, key: str, tolerance: float = 0.6) -> DataFrame:
+    """(key, line_no, text): words sorted by top join the current line while their top is within `tolerance` mean heights.
+
+    A fold over the words of one page, which is bounded; each line is then read from left to right.
+    """
+    w = words.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("top", "left", "height", "word"))).alias("w"))
+    line = "struct<n:int,last:double,heights:double,words:array<struct<left:double,word:string>>>"
+    start = F.expr(f"cast(array() as array<{line}>)")
+
+    def step(acc, x):
+        cur = F.element_at(acc, -1)
+        same = (F.size(acc) > 0) & (F.abs(x["top"] - F.when(F.size(acc) > 0, cur["last"])) <= tolerance * F.when(F.size(acc) > 0, cur["heights"] / cur["n"]))
+        one = F.struct(x["left"].cast("double").alias("left"), x["word"].alias("word"))
+        grown = F.struct((cur["n"] + 1).alias("n"), x["top"].cast("double").alias("last"), (cur["heights"] + x["height"]).cast("double").alias("heights"), F.array_append(cur["words"], one).alias("words"))
+        fresh = F.struct(F.lit(1).alias("n"), x["top"].cast("double").alias("last"), x["height"].cast("double").alias("heights"), F.array(one).alias("words"))
+        return F.when(F.coalesce(same, F.lit(False)), F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), grown).cast(f"array<{line}>")).otherwise(F.array_append(acc, fresh).cast(f"array<{line}>"))
+
+    lines = w.select(key, F.posexplode(F.aggregate("w", start, step)).alias("line_no", "l"))
+    return lines.select(key, "line_no", F.array_join(F.transform(F.array_sort("l.words"), lambda x: x["word"]), " ").alias("text"))
+
+
+def columns_of_tables(words: DataFrame, key: str, eps: float = 0.04, least: int = 2) -> DataFrame:
+    """(key, column, centre, words): clusters of word centres on rows of at least three words, on pages with three such rows.
+
+    Fewer than three columns are no table. Words are then given to the nearest centre by the caller.
+    """
+    centre = F.round(F.col("left") + F.col("width") / 2, 3)
+    rows = words.withColumn("row", F.round(F.col("top"), 2)).withColumn("c", centre)
+    full = rows.groupBy(key, "row").agg(F.count("*").alias("n")).where("n >= 3")
+    pages = full.groupBy(key).agg(F.count("*").alias("rows")).where("rows >= 3").select(key)
+    pts = rows.join(full.select(key, "row"), [key, "row"]).join(pages, key).select(key, "c")
+    d = dbscan_1d(pts, key, "c", eps, least).where("cluster >= 0")
+    cols = d.groupBy(key, F.col("cluster").alias("column")).agg(F.round(F.sum(F.col("x") * F.col("n")) / F.sum("n"), 4).alias("centre"), F.sum("n").alias("words"))
+    many = cols.groupBy(key).agg(F.count("*").alias("k")).where("k >= 3").select(key)
+    return cols.join(many, key)
+
+
+def nearest_column(words: DataFrame, columns: DataFrame, key: str) -> DataFrame:
+    """Words with the column of the nearest centre; the lower column on ties. Columns of one page are few."""
+    c = columns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("column", "centre"))).alias("cs"))
+    mid = F.col("left") + F.col("width") / 2
+    best = F.array_min(F.transform("cs", lambda x: F.struct(F.abs(x["centre"] - mid).alias("d"), x["column"].alias("column"))))
+    return words.join(c, key).withColumn("column", best["column"]).drop("cs")
+
+
+# ---- expense and identity responses
+EXPENSE = "struct<ExpenseDocuments:array<struct<SummaryFields:array<struct<Type:struct<Text:string>,LabelDetection:struct<Text:string>,ValueDetection:struct<Text:string,Confidence:double>>>>>>"
+IDENTITY = "struct<IdentityDocuments:array<struct<IdentityDocumentFields:array<struct<Type:struct<Text:string>,ValueDetection:struct<Text:string,Confidence:double>>>>>>"
+# Expense types and the field names that the invoice skill gives them.
+EXPENSE_NAMES = {"VENDOR_NAME": "vendor_name", "INVOICE_RECEIPT_DATE": "invoice_date", "DUE_DATE": "due_date", "TOTAL": "total_amount", "SUBTOTAL": "subtotal", "TAX": "tax_amount", "PO_NUMBER": "po_number", "INVOICE_RECEIPT_ID": "invoice_number", "PAYMENT_TERMS": "payment_terms"}
+
+
+def expense_fields(df: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, field_type, label, value, confidence): summary fields; a missing label is the type."""
+    d = df.select(key, F.explode(F.from_json(body, EXPENSE)["ExpenseDocuments"]).alias("d")).select(key, F.explode("d.SummaryFields").alias("f"))
+    return d.select(key, F.col("f.Type.Text").alias("field_type"), F.coalesce("f.LabelDetection.Text", "f.Type.Text").alias("label"), F.col("f.ValueDetection.Text").alias("value"), F.col("f.ValueDetection.Confidence").alias("confidence"))
+
+
+def named_expense(fields: DataFrame) -> DataFrame:
+    """Adds the skill's field name by a broadcast lookup; unmapped types keep their own in lower case."""
+    spark = fields.sparkSession
+    names = spark.createDataFrame(list(EXPENSE_NAMES.items()), "field_type string, name string")
+    return fields.join(F.broadcast(names), "field_type", "left").withColumn("name", F.coalesce("name", F.lower("field_type")))
+
+
+def identity_fields(df: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, field_type, value): the last value of each type."""
+    d = df.select(key, F.explode(F.from_json(body, IDENTITY)["IdentityDocuments"]).alias("d")).select(key, F.posexplode("d.IdentityDocumentFields").alias("n", "f"))
+    return d.groupBy(key, F.col("f.Type.Text").alias("field_type")).agg(F.max_by("f.ValueDetection.Text", "n").alias("value"))
+
+
+def hamming(a: Column, b: Column) -> Column:
+    """Differing bits of two perceptual hashes given as arrays of 64-bit words."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)

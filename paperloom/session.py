@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +24,25 @@ def local_session(cores: int = 8, shuffle: int = 8) -> SparkSession:
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless their path has it already (working folder or PYTHONPATH)."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    sc = spark.sparkContext
+    if any(p and os.path.realpath(p) == os.path.realpath(home) for p in paths) or getattr(sc, "_paperloom_sent", False):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")), "paperloom.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, files in os.walk(os.path.join(home, "paperloom")):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), home))
+    sc.addPyFile(target)
+    sc._paperloom_sent = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
