@@ -73,31 +73,31 @@ BLOCKS = "array<struct<Id:string,BlockType:string,Text:string,Confidence:double,
 
 def blocks(df: DataFrame, key: str, body: str) -> DataFrame:
     """One row a block of the responses; written once, as several joins read it."""
-    return cut(df.select(key, F.explode(F.from_json(body, BLOCKS)).alias("b")).select(key, "b.*"))
+    return cut(df.select(key, F.explode(F.from_json(body, BLOCKS)).alias("b")).select(key, F.col("b.Id").alias("block_id"), *[F.col(f"b.{c}") for c in ("BlockType", "Text", "Confidence", "RowIndex", "ColumnIndex", "EntityTypes", "Relationships")]))
 
 
 def _edges(b: DataFrame, key: str, kind: str) -> DataFrame:
-    r = b.select(key, F.col("Id").alias("src"), F.explode("Relationships").alias("r")).where(F.col("r.Type") == kind)
+    r = b.select(key, F.col("block_id").alias("src"), F.explode("Relationships").alias("r")).where(F.col("r.Type") == kind)
     return r.select(key, "src", F.posexplode("r.Ids").alias("pos", "dst"))
 
 
 def _texts(b: DataFrame, key: str) -> DataFrame:
     """(key, src, text): the words under each block, in order."""
-    words = b.where("BlockType = 'WORD'").select(key, F.col("Id").alias("dst"), "Text")
+    words = b.where("BlockType = 'WORD'").select(key, F.col("block_id").alias("dst"), "Text")
     return _edges(b, key, "CHILD").join(words, [key, "dst"]).groupBy(key, "src").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "Text"))), lambda x: x["Text"]), " ").alias("text"))
 
 
 def table_cells(b: DataFrame, key: str) -> DataFrame:
     """(key, table_id, row, col, text) of all tables: table -> cells -> words by id."""
-    tables = b.where("BlockType = 'TABLE'").select(key, F.col("Id").alias("src"))
-    cells = b.where("BlockType = 'CELL'").select(key, F.col("Id").alias("dst"), "RowIndex", "ColumnIndex")
+    tables = b.where("BlockType = 'TABLE'").select(key, F.col("block_id").alias("src"))
+    cells = b.where("BlockType = 'CELL'").select(key, F.col("block_id").alias("dst"), "RowIndex", "ColumnIndex")
     t = _edges(b, key, "CHILD").join(tables, [key, "src"]).join(cells, [key, "dst"])
     return t.select(key, F.col("src").alias("table_id"), F.col("RowIndex").alias("row"), F.col("ColumnIndex").alias("col"), F.col("dst").alias("src")).join(_texts(b, key), [key, "src"], "left").select(key, "table_id", "row", "col", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def form_pairs(b: DataFrame, key: str) -> DataFrame:
     """(key, k, v): form keys with their values; a missing value is empty."""
-    keys = b.where("BlockType = 'KEY_VALUE_SET' and array_contains(EntityTypes, 'KEY')").select(key, F.col("Id").alias("src"))
+    keys = b.where("BlockType = 'KEY_VALUE_SET' and array_contains(EntityTypes, 'KEY')").select(key, F.col("block_id").alias("src"))
     t = _texts(b, key)
     values = _edges(b, key, "VALUE").join(t.withColumnRenamed("src", "dst").withColumnRenamed("text", "v"), [key, "dst"], "left").select(key, "src", "v")
     return keys.join(t, [key, "src"], "left").join(values, [key, "src"], "left").select(key, F.coalesce("text", F.lit("")).alias("k"), F.coalesce("v", F.lit("")).alias("v"))

@@ -21,10 +21,10 @@ ROWS, QUERIES = 8192, 1024
 
 
 def _blocks(df: DataFrame, rows: int, cols: list[str]) -> tuple[DataFrame, int]:
-    n = df.count()
+    n = df.select(cols[0]).count()  # vectors are not computed for the count
     blocks = max(1, -(-n // rows))
     b = F.pmod(F.xxhash64(cols[0]), F.lit(blocks)).cast("int")
-    return df.groupBy(b.alias("block")).agg(F.collect_list(F.struct(*cols)).alias("rows")), blocks
+    return df.where(F.col("vec").isNotNull()).groupBy(b.alias("block")).agg(F.collect_list(F.struct(*cols)).alias("rows")), blocks
 
 
 def top_k(queries: DataFrame, data: DataFrame, k: int, same: bool = False, exclude_self: bool = True) -> DataFrame:
@@ -34,8 +34,8 @@ def top_k(queries: DataFrame, data: DataFrame, k: int, same: bool = False, exclu
     before ranking, as for tenants; null matches nothing). Rows without a vector take no part.
     """
     tag = ["tag"] if same else []
-    q, n_q = _blocks(queries.where(F.col("vec").isNotNull()).select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec"), *tag), QUERIES, ["id", "vec", *tag])
-    d, _ = _blocks(data.where(F.col("vec").isNotNull()).select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec"), *tag), ROWS, ["id", "vec", *tag])
+    q, n_q = _blocks(queries.select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec"), *tag), QUERIES, ["id", "vec", *tag])
+    d, _ = _blocks(data.select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec"), *tag), ROWS, ["id", "vec", *tag])
     pairs = d.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).withColumnRenamed("rows", "d").join(q.select(F.col("block").alias("qb"), F.col("rows").alias("q")), "qb")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,8 +71,8 @@ def first_hit(queries: DataFrame, data: DataFrame, threshold: float) -> DataFram
     Both sides have (id, vec, seq).
     """
     cols = ["id", "vec", "seq"]
-    q, n_q = _blocks(queries.where(F.col("vec").isNotNull()).select(*cols), QUERIES, cols)
-    d, _ = _blocks(data.where(F.col("vec").isNotNull()).select(*cols), ROWS, cols)
+    q, n_q = _blocks(queries.select(*cols), QUERIES, cols)
+    d, _ = _blocks(data.select(*cols), ROWS, cols)
     pairs = d.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).withColumnRenamed("rows", "d").join(q.select(F.col("block").alias("qb"), F.col("rows").alias("q")), "qb")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
