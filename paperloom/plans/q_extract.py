@@ -81,13 +81,14 @@ def ner_stored_by_type(spark, d):
 
 @q("ner_cascade")
 def ner_cascade(spark, d):
-    return ent.entity_rows(pages(spark, d), "page_id")
+    # a page that was delivered twice gives the same rows twice; the rows are smaller than the texts
+    return ent.entity_rows(table(spark, d, "extracted_pages"), "page_id").distinct()
 
 
 @q("ner_annotated")
 def ner_annotated(spark, d):
     """Counts of entity types per page, as the annotated text would show them."""
-    return ent.entity_rows(pages(spark, d), "page_id").groupBy("page_id", "entity_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("normalized")).alias("values"))
+    return ner_cascade(spark, d).groupBy("page_id", "entity_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("normalized")).alias("values"))
 
 
 # ---- invoices and forms

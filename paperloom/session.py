@@ -52,6 +52,8 @@ def spread(df: DataFrame) -> DataFrame:
     A scan has so few partitions only if the whole input is below cores x maxPartitionBytes, so the
     shuffle is bounded by that; larger inputs keep their scan partitions and are not shuffled.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # partitioned by a shuffle already; asking for its number would run it
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
