@@ -226,7 +226,7 @@ def link_addresses(strings: DataFrame, min_posterior: float = 0.9) -> DataFrame:
     def sounds(s: pd.Series) -> pd.Series:
         return s.map(sound)
 
-    p = spread(strings.select("address")).withColumn("p", parsed("address")).select("address", "p.*").where(F.col("number").isNotNull())
+    p = spread(cut(strings.select("address"))).withColumn("p", parsed("address")).select("address", "p.*").where(F.col("number").isNotNull())
     p = cut(p)
     # towns by postcode
     town = p.where("post <> '' and town <> ''").groupBy("post", "town").agg(F.count("*").alias("n"))

@@ -181,3 +181,14 @@ def p8_fill(spark, sf_dir: str) -> DataFrame:
     used = p8_containers(spark, sf_dir).groupBy("budget_id").agg(F.max("container_id").alias("last"), F.sum("size").alias("tokens"))
     out = used.join(F.broadcast(budgets), "budget_id")
     return out.select("budget_id", (F.col("last") + 1).alias("containers"), "tokens", F.round(F.col("tokens") / ((F.col("last") + 1) * F.col("capacity_tokens")), 4).alias("filled"), F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least"))
+
+
+def p8_coverage(spark, sf_dir: str) -> DataFrame:
+    """Per budget: texts packed, containers above capacity, and texts within the capacity that were split."""
+    budgets = table(spark, sf_dir, "token_budgets").select("budget_id", "capacity_tokens")
+    c = cut(p8_containers(spark, sf_dir))
+    texts = c.groupBy("budget_id", "doc_id").agg(F.sum("size").alias("n"), F.count("*").alias("pieces")).join(F.broadcast(budgets), "budget_id")
+    texts = texts.groupBy("budget_id").agg(F.count("*").alias("texts"), F.sum(((F.col("pieces") > 1) & (F.col("n") <= F.col("capacity_tokens"))).cast("int")).alias("split_needlessly"))
+    full = c.groupBy("budget_id", "container_id").agg(F.sum("size").alias("n")).join(F.broadcast(budgets), "budget_id")
+    full = full.groupBy("budget_id").agg(F.sum((F.col("n") > F.col("capacity_tokens")).cast("int")).alias("overfull"))
+    return texts.join(full, "budget_id").select("budget_id", "texts", "overfull", "split_needlessly")
