@@ -124,7 +124,12 @@ def similar_pairs(strings: DataFrame, by: list[str], col: str, k: int) -> DataFr
 
 def learn_lexicon(names: DataFrame) -> dict[str, dict[str, int]]:
     """Per field, the words that stand with many different partners, with their number of strings."""
-    words = F.udf(lambda s: sorted({w for w in split_words(s) if len(w) > 1 and w not in _FOLDED_LEGAL and w not in TITLES and w not in PARTICLES and w not in JUNIOR}), "array<string>")
+    skip = _FOLDED_LEGAL | TITLES | PARTICLES | JUNIOR
+
+    @F.pandas_udf("array<string>")
+    def words(names: pd.Series) -> pd.Series:
+        return names.map(lambda s: sorted({w for w in split_words(s) if len(w) > 1 and w not in skip}))
+
     w = cut(names.select("name_field", "name", F.explode(words("name")).alias("w")))
     counts = w.groupBy("name_field", "w").agg(F.count("*").alias("c"))
     totals = {r.name_field: r.n for r in names.groupBy("name_field").agg(F.count("*").alias("n")).collect()}  # a row a field
