@@ -157,19 +157,41 @@ def dbscan_1d(points: DataFrame, key: str, x: str, eps: float, least: int) -> Da
     return d.select(key, "x", "n", cluster.cast("int").alias("cluster"))
 
 
+def with_previous(df: DataFrame, key: str, order: str, cols: list[str], width: int = 1000) -> DataFrame:
+    """Adds _bucket and prev (struct of cols, null on the first row) of the row before in the order of one key.
+
+    Windows see `width` values of the order at a time; what crosses a bucket comes from one row per bucket, so
+    a key of any size is shared among tasks.
+    """
+    df = df.withColumn("_bucket", F.floor(F.col(order) / width))
+    last = df.groupBy(key, "_bucket").agg(F.max_by(F.struct(*cols), order).alias("last"))
+    before = last.select(key, "_bucket", F.lag("last").over(Window.partitionBy(key).orderBy("_bucket")).alias("before"))
+    inside = df.withColumn("prev", F.lag(F.struct(*cols)).over(Window.partitionBy(key, "_bucket").orderBy(order)))
+    return inside.join(before, [key, "_bucket"]).withColumn("prev", F.coalesce("prev", "before")).drop("before")
+
+
+def running_sum(df: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
+    """Running sum within a key by the buckets of with_previous: sums of whole buckets before, plus the own bucket's."""
+    total = df.groupBy(key, "_bucket").agg(F.sum(value).alias("_t"))
+    before = total.select(key, "_bucket", F.coalesce(F.sum("_t").over(Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.sum(value).over(Window.partitionBy(key, "_bucket").orderBy(order))
+    return df.withColumn(out, own).join(before, [key, "_bucket"]).withColumn(out, F.col(out) + F.col("_before")).drop("_before")
+
+
 def split_segments(pages: DataFrame, key: str, least_pages: int = 1) -> DataFrame:
     """(key, segment, page_start, page_end, pages, blank) of pages (key, page_num, chars, kind).
 
     A boundary is before a page if it or the one before is blank (under 20 characters), or if kind and size
     both change (ratio of characters under 0.25 or over 4). Segments shorter than `least_pages` join the one before.
-    Windows run within one document.
+    Pages of one document are shared among tasks in buckets of a thousand page numbers; only the few segments
+    of a document are ordered in one window.
     """
-    w = Window.partitionBy(key).orderBy("page_num")
-    chars, kind = F.lag("chars").over(w), F.lag("kind").over(w)
+    s = with_previous(pages, key, "page_num", ["chars", "kind"])
+    chars, kind = F.col("prev.chars"), F.col("prev.kind")
     blank = F.col("chars") < 20
     ratio = F.col("chars") / F.greatest(chars, F.lit(1))
     cutting = chars.isNotNull() & (blank | (chars < 20) | ((F.col("kind") != kind) & ((ratio < 0.25) | (ratio > 4))))
-    s = pages.withColumn("cutting", F.coalesce(cutting, F.lit(False)).cast("int")).withColumn("seg", F.sum("cutting").over(w))
+    s = running_sum(s.withColumn("cutting", F.coalesce(cutting, F.lit(False)).cast("int")), key, "page_num", "cutting", "seg")
     g = s.groupBy(key, "seg").agg(F.min("page_num").alias("page_start"), F.max("page_num").alias("page_end"), F.count("*").alias("pages"), F.min(blank).alias("blank"))
     if least_pages > 1:
         v = Window.partitionBy(key).orderBy("seg")

@@ -97,8 +97,8 @@ def identity_fields(spark, d):
 def page_hash_distance(spark, d):
     """Differing bits of the hashes of neighbouring pages (hashes of text stand in for image hashes)."""
     p = table(spark, d, "extracted_pages").select("file_name", "page_num", F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 15), 16, 10).cast("bigint").alias("h")).distinct()
-    prev = F.lag("h").over(Window.partitionBy("file_name").orderBy("page_num"))
-    return p.withColumn("ph", prev).where("ph is not null").select("file_name", "page_num", doc.hamming(F.array("h"), F.array("ph")).cast("int").alias("bits"))
+    p = doc.with_previous(p, "file_name", "page_num", ["h"]).where("prev is not null")
+    return p.select("file_name", "page_num", doc.hamming(F.array("h"), F.array(F.col("prev.h"))).cast("int").alias("bits"))
 
 
 # ---- answering strategies

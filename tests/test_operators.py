@@ -125,3 +125,12 @@ def test_blank_pages_cut_on_both_sides(spark):
     df = spark.createDataFrame([("f", 1, 900, 1), ("f", 2, 0, 1), ("f", 3, 800, 1), ("f", 4, 820, 1)], "file string, page_num int, chars int, kind int")
     got = [(r.page_start, r.page_end, r.blank) for r in documents.split_segments(df, "file").orderBy("segment").collect()]
     assert got == [(1, 1, False), (2, 2, True), (3, 4, False)]
+
+
+def test_rows_before_across_buckets(spark):
+    rows = [("f", n, n * 10) for n in (1, 2, 5, 6, 7, 11, 30)] + [("g", 4, 40)]
+    df = spark.createDataFrame(rows, "k string, n int, v int")
+    got = {(r.k, r.n): r.prev.v if r.prev else None for r in documents.with_previous(df, "k", "n", ["v"], width=3).collect()}
+    assert got == {("f", 1): None, ("f", 2): 10, ("f", 5): 20, ("f", 6): 50, ("f", 7): 60, ("f", 11): 70, ("f", 30): 110, ("g", 4): None}
+    sums = documents.running_sum(documents.with_previous(df, "k", "n", ["v"], width=3), "k", "n", "v", "s")
+    assert {(r.k, r.n): r.s for r in sums.collect()} == {("f", 1): 10, ("f", 2): 30, ("f", 5): 80, ("f", 6): 140, ("f", 7): 210, ("f", 11): 320, ("f", 30): 620, ("g", 4): 40}
