@@ -1,6 +1,6 @@
 """Problem 5: noise in text from scanned pages.
 
-1. Words of all pages are counted (per task, then by word).
+1. Words of all pages are counted (per task, then by word), over text, rich_text and blocks; copies of a line count once.
 2. Every counted word is run through the vocabulary trie together with an automaton that accepts the
    word under at most MAX_EDITS visual confusions (a Levenshtein automaton whose edits are the shapes
    that reading confuses: one or two characters for one or two others). This gives all vocabulary
@@ -399,8 +399,20 @@ def scanned_pages(spark, sf_dir: str) -> DataFrame:
     return spread(one("text").unionByName(one("rich_text"))).unionByName(tb)
 
 
+def page_lines(spark, sf_dir: str) -> DataFrame:
+    """(text) of every page once, with the lines that stand in rich_text only, and of blocks whose line is on no page."""
+    ep = table(spark, sf_dir, "extracted_pages").select("page_id", "is_scanned", "text", "rich_text")
+    lines = lambda c: F.split(F.coalesce(c, F.lit("")), "\n")
+    more = F.filter(F.array_except(lines("rich_text"), lines("text")), lambda x: F.trim(x) != FORM_MARK)
+    texts = ep.dropDuplicates(["page_id"]).select(F.concat_ws("\n", "text", more).alias("text"))
+    same = lambda c: F.xxhash64(F.trim(c)).alias("h")
+    there = ep.where("is_scanned").select("page_id", F.explode(F.array_union(lines("text"), lines("rich_text"))).alias("line")).select("page_id", same("line"))
+    tb = table(spark, sf_dir, "text_blocks").select("page_id", "block_id", "text", same("text")).where(F.trim("text") != FORM_MARK)
+    return texts.unionByName(cut(tb.join(there, ["page_id", "h"], "left_anti").dropDuplicates(["block_id"]).select("text")))
+
+
 def p5_found(spark, sf_dir: str) -> DataFrame:
-    found = noise(table(spark, sf_dir, "extracted_pages").select("text"), scanned_pages(spark, sf_dir))
+    found = noise(page_lines(spark, sf_dir), scanned_pages(spark, sf_dir))
     rec = F.split("rec", r"\.")
     return found.select(rec[0].alias("record_table"), F.col("id").alias("record_id"), rec[1].alias("field_name"), "noise_kind", "line_no", "repaired")
 

@@ -55,6 +55,25 @@ def test_noise(spark):
     assert by["misread"] == [(5, 4, "flagged"), (5, 4, "revised")]
 
 
+def _tables(tmp_path, spark, pages, blocks):
+    spark.createDataFrame(pages, "page_id bigint, file_name string, page_num int, is_scanned boolean, text string, rich_text string").write.parquet(f"{tmp_path}/extracted_pages.parquet")
+    spark.createDataFrame(blocks, "block_id bigint, page_id bigint, file_name string, page int, block_no int, text string").write.parquet(f"{tmp_path}/text_blocks.parquet")
+    return str(tmp_path)
+
+
+def test_words_of_all_fields_count_once(spark, tmp_path):
+    text = "The tenant signed the plan.\nIt was filed."
+    form = lambda i: f"{text}\n\n{O.FORM_MARK}\nPolicy {'ho1der' if i == 3 else 'holder'}: passed"
+    pages = [(i, f"f{i}", 1, True, text, form(i)) for i in range(9)] + [(0, "f0", 1, True, text, form(0)), (20, "g", 1, True, None, None)]
+    lines = [(i, n, x) for i in range(9) for n, x in enumerate(y for y in form(i).split("\n") if y)] + [(20, 0, "A harbour wall"), (20, 1, "A harbour wa11"), *[(20, k, "near the harbour wall") for k in range(2, 9)]]
+    blocks = [(i * 100 + n, i, f"f{i}", 1, n, x) for i, n, x in lines]
+    d = _tables(tmp_path, spark, pages, blocks + blocks[:4])
+    counts = {r.word: r.n for r in O.count_words(O.page_lines(spark, d)).collect()}
+    assert [counts.get(w) for w in ("tenant", "holder", "ho1der", "wall", "wa11", "form")] == [9, 8, 1, 8, 1, None]
+    got = {(r.record_table, r.record_id, r.field_name, r.line_no, r.repaired) for r in O.p5_found(spark, d).where("noise_kind = 'misread'").collect()}
+    assert got == {("extracted_pages", 3, "rich_text", 4, "holder"), ("text_blocks", 303, "text", 0, "holder"), ("text_blocks", 2001, "text", 0, "wall")}
+
+
 def test_repair_text():
     text = "Some Head    4\n\nThe reviewer flaggcd the barc-\node, and\nleft.\n\nNext one.\n4"
     events = [(0, "running_head", ""), (7, "page_number", ""), (2, "misread", "flagged"), (2, "line_hyphen", "barcode")]
