@@ -433,6 +433,7 @@ def repair_text(text: str, events: list[tuple[int, str, str]]) -> str:
             out.append(" ".join(paragraph))
             paragraph.clear()
 
+    form = next((i for i, x in enumerate(lines) if x.strip() == FORM_MARK), len(lines))
     for i, line in enumerate(lines):
         kinds = by.get(i, [])
         if any(k in ("running_head", "page_number") for k, _ in kinds):
@@ -454,8 +455,8 @@ def repair_text(text: str, events: list[tuple[int, str, str]]) -> str:
                 carry = repaired.capitalize() if first[:1].isupper() else repaired
         if not line.strip():
             flush()
-        elif carry is None and _ITEM.match(line):
-            flush()  # a line of a list or table stands by itself
+        elif carry is None and (i >= form or _ITEM.match(line)):
+            flush()  # a line of a list, table or form stands by itself
             out.append(" ".join(tokens))
         else:
             paragraph += tokens
@@ -466,13 +467,28 @@ def repair_text(text: str, events: list[tuple[int, str, str]]) -> str:
 
 
 def p5_repaired(spark, sf_dir: str) -> DataFrame:
-    """(page_id, repaired_text) of every scanned page; other pages keep their text."""
-    ep = table(spark, sf_dir, "extracted_pages").select("page_id", "text").dropDuplicates(["page_id"])
-    found = p5_found(spark, sf_dir).where("record_table = 'extracted_pages' and field_name = 'text'")
-    per_page = found.groupBy(F.col("record_id").alias("page_id")).agg(F.collect_list(F.struct("line_no", "noise_kind", "repaired")).alias("ev"))
+    """(record_table, record_id, field_name, repaired_text) of text and rich_text of every page and of the blocks of a page.
+
+    Paragraphs run over blocks: those of a page are joined by block_no, and record_id is then its page_id. Fields of
+    pages that are not scanned keep their text; a null field has a null text.
+    """
+    found = cut(p5_found(spark, sf_dir))
+    ep = table(spark, sf_dir, "extracted_pages").select("page_id", F.coalesce("is_scanned", F.lit(False)).alias("scanned"), "text", "rich_text").dropDuplicates(["page_id"])
+    ep = ep.select("page_id", "scanned", F.explode(F.create_map(F.lit("text"), "text", F.lit("rich_text"), "rich_text")).alias("field_name", "t"))
+    on_page = found.where("record_table = 'extracted_pages'").groupBy(F.col("record_id").alias("page_id"), "field_name").agg(F.collect_list(F.struct(F.col("line_no").cast("bigint").alias("line_no"), "noise_kind", "repaired")).alias("ev"))
+    pages = ep.join(on_page, ["page_id", "field_name"], "left").select(F.lit("extracted_pages").alias("record_table"), F.col("page_id").alias("record_id"), "field_name", "t", "scanned", "ev")
+
+    # blocks as lines of their page
+    tb = table(spark, sf_dir, "text_blocks").select("page_id", "block_no", "block_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["block_id"])
+    on_block = found.where("record_table = 'text_blocks'").withColumnRenamed("record_id", "block_id").groupBy("block_id").agg(F.collect_list(F.struct("block_id", "noise_kind", "repaired")).alias("e"))
+    none = F.array().cast("array<struct<block_id:bigint,noise_kind:string,repaired:string>>")
+    tb = tb.join(on_block, "block_id", "left").withColumn("e", F.coalesce("e", none))
+    tb = tb.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("block_no", "block_id", "text"))).alias("x"), F.flatten(F.collect_list("e")).alias("e"))  # a page is bounded
+    events = F.transform("e", lambda v: F.struct((F.array_position("x.block_id", v["block_id"]) - 1).alias("line_no"), v["noise_kind"].alias("noise_kind"), v["repaired"].alias("repaired")))
+    blocks = tb.select(F.lit("text_blocks").alias("record_table"), F.col("page_id").alias("record_id"), F.lit("text").alias("field_name"), F.array_join("x.text", "\n").alias("t"), F.lit(True).alias("scanned"), events.alias("ev"))
 
     @F.pandas_udf("string")
-    def fix(text: pd.Series, ev: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else t if e is None or not len(e) else repair_text(t, [(x["line_no"], x["noise_kind"], x["repaired"]) for x in e]) for t, e in zip(text, ev)])
+    def fix(text: pd.Series, scanned: pd.Series, ev: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or not s else repair_text(t, [(x["line_no"], x["noise_kind"], x["repaired"]) for x in (e if e is not None else [])]) for t, s, e in zip(text, scanned, ev)], dtype=object)
 
-    return ep.join(per_page, "page_id", "left").select("page_id", fix("text", "ev").alias("repaired_text"))
+    return pages.unionByName(blocks).select("record_table", "record_id", "field_name", fix("t", "scanned", "ev").alias("repaired_text"))

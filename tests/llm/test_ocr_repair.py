@@ -74,6 +74,22 @@ def test_words_of_all_fields_count_once(spark, tmp_path):
     assert got == {("extracted_pages", 3, "rich_text", 4, "holder"), ("text_blocks", 303, "text", 0, "holder"), ("text_blocks", 2001, "text", 0, "wall")}
 
 
+def test_repaired_holds_every_field(spark, tmp_path):
+    text = "The tenant signed the long\nplan. It was filed in a barc-\node box."
+    whole = "The tenant signed the long plan. It was filed in a barcode box."
+    form = lambda i: f"{text}\n\n{O.FORM_MARK}\nPolicy {'ho1der' if i == 3 else 'holder'}: passed\nResult: passed"
+    pages = [(i, f"f{i}", 1, True, text, form(i)) for i in range(9)] + [(20, "g", 1, False, "a\nb", None), (21, "g", 2, True, "one\ntwo", None)]
+    blocks = [(i * 100 + 50 - n, i, f"f{i}", 1, n, x) for i in range(9) for n, x in enumerate(y for y in form(i).split("\n") if y)]
+    d = _tables(tmp_path, spark, pages, blocks + blocks[:4])
+    rows = [tuple(r) for r in O.p5_repaired(spark, d).collect()]
+    got = {r[:3]: r[3] for r in rows}
+    assert len(rows) == len(got) == 11 * 2 + 9
+    repaired = f"{whole}\n\n{O.FORM_MARK}\n\nPolicy holder: passed\n\nResult: passed"
+    assert got[("extracted_pages", 3, "text")] == whole
+    assert got[("extracted_pages", 3, "rich_text")] == got[("text_blocks", 3, "text")] == got[("text_blocks", 4, "text")] == repaired
+    assert got[("extracted_pages", 20, "text")] == "a\nb" and got[("extracted_pages", 20, "rich_text")] is None and got[("extracted_pages", 21, "text")] == "one two"
+
+
 def test_repair_text():
     text = "Some Head    4\n\nThe reviewer flaggcd the barc-\node, and\nleft.\n\nNext one.\n4"
     events = [(0, "running_head", ""), (7, "page_number", ""), (2, "misread", "flagged"), (2, "line_hyphen", "barcode")]
