@@ -61,14 +61,20 @@ def route(query: Column, tenant: Column) -> Column:
     return chain.otherwise(s("simple.yaml", "SIMPLE", 0.5, "FALLBACK"))
 
 
-def keyword_counts(text: Column) -> dict[str, Column]:
-    t = F.substring(F.coalesce(text, F.lit("")), 1, 5000)
+def _first(text: Column, window: int | None) -> Column:
+    t = F.coalesce(text, F.lit(""))
+    return t if window is None else F.substring(t, 1, window)
+
+
+def keyword_counts(text: Column, window: int | None = None) -> dict[str, Column]:
+    """Over the whole text; `window` is the reference's prefix (5,000 characters)."""
+    t = _first(text, window)
     return {k: F.regexp_count(t, F.lit("(?i)" + p)) for k, p in CLASSES.items()}
 
 
-def classify(df: DataFrame, text: str = "text") -> DataFrame:
+def classify(df: DataFrame, text: str = "text", window: int | None = None) -> DataFrame:
     """Adds doc_class, class_score, class_confidence: the class with most keywords, at least 4 and twice the next; else `other`, 0.60."""
-    df = df.withColumn("_s", F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, (k, n) in enumerate(keyword_counts(F.col(text)).items())]))
+    df = df.withColumn("_s", F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, (k, n) in enumerate(keyword_counts(F.col(text), window).items())]))
     top = F.sort_array("_s", asc=False)
     df = df.withColumn("_a", top[0]).withColumn("_b", top[1])
     clear = (F.col("_a.n") >= 4) & ((F.col("_b.n") == 0) | (F.col("_a.n") >= 2 * F.col("_b.n")))
@@ -88,8 +94,9 @@ def classify_name(name: Column) -> Column:
     return chain.otherwise(F.struct(F.lit("other").alias("doc_class"), F.lit(0.40).alias("confidence")))
 
 
-def hits(text: Column, patterns: list[str]) -> Column:
-    t = F.substring(F.coalesce(text, F.lit("")), 1, 4000)
+def hits(text: Column, patterns: list[str], window: int | None = None) -> Column:
+    """Over the whole text; `window` is the reference's prefix (4,000 characters)."""
+    t = _first(text, window)
     return sum((has(t, p).cast("int") for p in patterns[1:]), has(t, patterns[0]).cast("int"))
 
 

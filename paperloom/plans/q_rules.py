@@ -116,7 +116,16 @@ ARR = "[" + ",".join(f"{{'n': n_{k}, 'o': {-i}, 'k': '{k}'}}" for i, k in enumer
 
 @q("classify_doc", f"SELECT doc_id, CASE WHEN ok THEN a.k ELSE 'other' END AS doc_class, a.n AS class_score, round(CASE WHEN ok THEN least(0.92,0.65+a.n*0.03) ELSE 0.60 END,4) AS confidence FROM (SELECT doc_id, s[1] AS a, s[1].n>=4 AND (s[2].n=0 OR s[1].n>=2*s[2].n) AS ok FROM (SELECT doc_id, list_reverse_sort({ARR}) AS s FROM (SELECT doc_id, {COUNTS} FROM (SELECT doc_id, substr(coalesce(text,''),1,5000) AS t FROM documents))))")
 def classify_doc(spark, d):
-    return rules.classify(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "doc_class", "class_score", F.round("class_confidence", 4).alias("confidence"))
+    return _classes(spark, d, 5000)  # the reference's window, which the SQL states
+
+
+@q("classify_doc_whole", f"SELECT doc_id, CASE WHEN ok THEN a.k ELSE 'other' END AS doc_class, a.n AS class_score, round(CASE WHEN ok THEN least(0.92,0.65+a.n*0.03) ELSE 0.60 END,4) AS confidence FROM (SELECT doc_id, s[1] AS a, s[1].n>=4 AND (s[2].n=0 OR s[1].n>=2*s[2].n) AS ok FROM (SELECT doc_id, list_reverse_sort({ARR}) AS s FROM (SELECT doc_id, {COUNTS} FROM (SELECT doc_id, coalesce(text,'') AS t FROM documents))))")
+def classify_doc_whole(spark, d):
+    return _classes(spark, d, None)
+
+
+def _classes(spark, d, window):
+    return rules.classify(table(spark, d, "documents").select("doc_id", "text"), window=window).select("doc_id", "doc_class", "class_score", F.round("class_confidence", 4).alias("confidence"))
 
 
 NAME_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(file_name),'{p}')" for p in parts) + f" THEN '{k}'" for k, _, parts in rules.FILE_NAMES) + " ELSE 'other' END"
@@ -134,7 +143,16 @@ def _hits(ps):
 
 @q("clinical_or_report", f"SELECT doc_id, c AS clinical_hits, r AS report_hits, c>=3 AND r<=1 AS is_clinical FROM (SELECT doc_id, {_hits(rules.CLINICAL)} AS c, {_hits(rules.REPORT)} AS r FROM (SELECT doc_id, substr(coalesce(text,''),1,4000) AS t FROM documents))")
 def clinical_or_report(spark, d):
-    x = table(spark, d, "documents").select("doc_id", rules.hits(F.col("text"), rules.CLINICAL).alias("clinical_hits"), rules.hits(F.col("text"), rules.REPORT).alias("report_hits"))
+    return _signals(spark, d, 4000)  # the reference's window, which the SQL states
+
+
+@q("clinical_or_report_whole", f"SELECT doc_id, c AS clinical_hits, r AS report_hits, c>=3 AND r<=1 AS is_clinical FROM (SELECT doc_id, {_hits(rules.CLINICAL)} AS c, {_hits(rules.REPORT)} AS r FROM (SELECT doc_id, coalesce(text,'') AS t FROM documents))")
+def clinical_or_report_whole(spark, d):
+    return _signals(spark, d, None)
+
+
+def _signals(spark, d, window):
+    x = table(spark, d, "documents").select("doc_id", rules.hits(F.col("text"), rules.CLINICAL, window).alias("clinical_hits"), rules.hits(F.col("text"), rules.REPORT, window).alias("report_hits"))
     return x.withColumn("is_clinical", (F.col("clinical_hits") >= 3) & (F.col("report_hits") <= 1))
 
 

@@ -134,3 +134,10 @@ def test_rows_before_across_buckets(spark):
     assert got == {("f", 1): None, ("f", 2): 10, ("f", 5): 20, ("f", 6): 50, ("f", 7): 60, ("f", 11): 70, ("f", 30): 110, ("g", 4): None}
     sums = documents.running_sum(documents.with_previous(df, "k", "n", ["v"], width=3), "k", "n", "v", "s")
     assert {(r.k, r.n): r.s for r in sums.collect()} == {("f", 1): 10, ("f", 2): 30, ("f", 5): 80, ("f", 6): 140, ("f", 7): 210, ("f", 11): 320, ("f", 30): 620, ("g", 4): 40}
+
+
+def test_keywords_count_in_the_whole_text(spark):
+    text = "x " * 6000 + "invoice subtotal vendor bill to; chief complaint: dob: prescribed: appendix"
+    df = spark.createDataFrame([(text,), (None,)], "text string")
+    assert [tuple(r)[1:3] for r in rules.classify(df).collect()] == [("invoice", 4), ("other", 0)]
+    assert [tuple(r) for r in df.select(rules.hits(F.col("text"), rules.CLINICAL), rules.hits(F.col("text"), rules.REPORT)).collect()] == [(3, 1), (0, 0)]
