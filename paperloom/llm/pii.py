@@ -12,18 +12,23 @@ person is estimated from the corpus.
 3. A second pass adds up the disclosures of a candidate's terms; above `threshold` bits it is a person.
    Terms whose pairs are hardly ever persons (streets, firms) count against it.
 
-No candidate is shuffled, only counts per term and the final spans. Size bounds: a term enters the model
-if it occurs at least max(4, SHARE x candidates) times, at most 1/SHARE terms of each kind; rarer terms
-count as unknown. Null and empty texts have no spans; texts are read whole. `sanitise` replaces spans.
+A term enters the model if it occurs at least 4 times (a particle of a family: once), whatever the size of the
+corpus. Size bounds: terms seen at least SHARE x candidates times are sent to tasks, at most 1/SHARE of each kind;
+of the rarer ones a bitmap of 2^BITS. Texts in which a candidate's decision may hinge on a rarer term give their
+candidates instead of names; these are joined with the rarer terms and judged then. Otherwise only counts per term
+and the final spans are shuffled. Null and empty texts have no spans; texts are read whole. `sanitise` replaces spans.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +39,7 @@ from paperloom.llm.names import fold
 from paperloom.session import cut, spread, table
 
 SHARE = 1e-5
+BITS = 22
 THRESHOLD = 0.0
 # Titles in front of a name; particles of family names; words that are no part of a name.
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "herrn", "mme", "mlle", "m", "monsieur", "madame", "sr", "sra", "srta", "don", "doña", "señor", "señora", "dear"}
@@ -311,8 +317,8 @@ def term_counts(texts: DataFrame, given: set[str]) -> DataFrame:
     return spread(texts).mapInArrow(run, "kind string, term string, ctx string, n bigint, pos bigint").groupBy("kind", "term", "ctx").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
 
 
-def disclosure(texts: DataFrame, given: set[str], share: float = SHARE) -> dict[tuple[str, str], float]:
-    """Bits by which each frequent term reveals a person, and the base log-odds under ("", "")."""
+def disclosure(texts: DataFrame, given: set[str], share: float = SHARE) -> tuple[dict[tuple[str, str], float], DataFrame | None]:
+    """Bits by which each frequent term reveals a person, the base log-odds under ("", ""); and (kind, term, bits) of the rarer ones, if there can be any."""
     counts = cut(term_counts(texts, given))
     totals = counts.where("kind in ('I', 'O')").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).first()
     n, pos = totals["n"] or 1, totals["pos"] or 0
@@ -323,57 +329,100 @@ def disclosure(texts: DataFrame, given: set[str], share: float = SHARE) -> dict[
     # a context of its own word only says nothing beyond the seed
     expected = F.greatest(F.col("pos").cast("double"), F.col("n") * F.when(F.col("cn") > 2 * F.col("n"), F.col("p")).otherwise(F.lit(0.0)))
     terms = words.groupBy("kind", "term").agg(F.sum("n").alias("n"), F.sum(expected).alias("pos")).unionByName(counts.where("kind = 'L'").select("kind", F.col("ctx").alias("term"), "n", F.col("pos").cast("double").alias("pos")))
-    particles = counts.where("kind = 'P'").select("kind", "term", "n", F.col("n").cast("double").alias("pos")).where(F.col("n") >= max(1.0, share * n))
-    rows = terms.where(F.col("n") >= max(4.0, share * n)).unionByName(particles).toPandas()  # at most 1 / share terms of each kind
+    particles = counts.where("kind = 'P'").select("kind", "term", "n", F.col("n").cast("double").alias("pos"))
+    terms = terms.where("n >= 4").unionByName(particles)
+    if share * n > 1:
+        terms = cut(terms)
+    rows = terms.where(F.col("n") >= share * n).toPandas()  # at most 1 / share terms of each kind
     logit = lambda p: math.log2(p / (1 - p))
     out = {("", ""): logit(base)}
     for r in rows.itertuples():
         p = min(0.999, max(0.001, (r.pos + 2 * base) / (r.n + 2)))
         out[(r.kind, r.term)] = logit(p) - logit(base)
-    return out
+    if share * n <= 1:
+        return out, None
+    p = F.least(F.lit(0.999), F.greatest(F.lit(0.001), (F.col("pos") + 2 * base) / (F.col("n") + 2)))
+    return out, terms.where(F.col("n") < share * n).select("kind", "term", (F.log2(p / (1 - p)) - logit(base)).alias("bits"))
 
 
-def persons(t: str, given: set[str], bits: dict[tuple[str, str], float], threshold: float, low) -> list[tuple[int, int]]:
-    found: list[tuple[float, int, int]] = []
-    base = bits[("", "")]
+def _bit(kind: str, term: str) -> int:
+    return zlib.crc32(f"{kind} {term}".encode("utf-8", "replace")) & ((1 << BITS) - 1)
+
+
+def sieve(rare: DataFrame) -> bytes:
+    """Bitmap of the terms by _bit."""
+    at = rare.select(F.crc32(F.concat_ws(" ", "kind", "term").cast("binary")).bitwiseAND(F.lit((1 << BITS) - 1)).alias("b")).distinct().toPandas().b  # at most 2^BITS
+    bits = np.zeros(1 << BITS, np.uint8)
+    bits[at.to_numpy(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def forms(t: str, low) -> Iterator[tuple]:
+    """(start, end, given, family, inverted, start behind a preposition, particle with family) of the candidates that may be names."""
     for s, e, g, f in candidates(t):
         a, z = low(g), low(f)
         if a in NEVER or z in NEVER or z in TITLES or a in PARTICLES or z in PARTICLES:
             continue
-        at = s
-        if f[0] == "," and (m := _DE.match(t, s)) and ("P", f"{m[1].lower()} {z}") not in bits:
-            s = m.end()  # a preposition, not a particle of this family
+        m = _DE.match(t, s) if f[0] == "," else None
+        yield s, e, a, z, f[0] == ",", m.end() if m else s, f"{m[1].lower()} {z}" if m else ""
+
+
+def judge(found, context: Callable[[int], tuple[str, bool]], given: set[str], bits: dict, threshold: float, may=None) -> list[tuple[int, int]] | None:
+    """Spans of the persons among `forms`; None if that may hinge on a term that `may` allows and `bits` lacks."""
+    kept: list[tuple[float, int, int]] = []
+    base = bits[("", "")]
+    for at, e, a, z, inverted, behind, particle in found:
         known = a in given
-        fb = bits.get(("B", z))
-        ab = 6.0 if known else bits.get(("A", a), 0.0 if len(a) == 1 else -1.0)
-        score = base + max(-6.0, min(6.0, ab)) + max(-6.0, min(6.0, 0.0 if fb is None else fb)) - (f[0] == ",")
+        ab, fb = 6.0 if known else bits.get(("A", a)), bits.get(("B", z))
+        open_ = False
+        if may:
+            if ab is None and may("A", a):
+                ab, open_ = 6.0, True
+            if fb is None and may("B", z):
+                fb, open_ = 6.0, True
+        if ab is None:
+            ab = 0.0 if len(a) == 1 else -1.0
+        score = base + max(-6.0, min(6.0, ab)) + max(-6.0, min(6.0, 0.0 if fb is None else fb)) - inverted
         if score + 12.0 <= threshold:
             continue  # no context can make up for it
-        score += max(-4.0, min(6.0, bits.get(("L", front(t, at)), 0.0))) + (6.0 if titled(t, at) else 0.0)
+        front_, title = context(at)
+        lb = bits.get(("L", front_))
+        if lb is None and may and may("L", front_):
+            lb, open_ = 6.0, True
+        score += max(-4.0, min(6.0, 0.0 if lb is None else lb)) + (6.0 if title else 0.0)
         if score > threshold:
-            found.append((score, s, e))
+            # a preposition, not a particle of this family
+            alone = bool(particle) and ("P", particle) not in bits
+            if open_ or alone and may and may("P", particle):
+                return None
+            kept.append((score, behind if alone else at, e))
     out: list[tuple[int, int]] = []
-    for _, s, e in sorted(found, key=lambda x: (-x[0], x[1])):
+    for _, s, e in sorted(kept, key=lambda x: (-x[0], x[1])):
         if all(e <= a or s >= b for a, b in out):
             out.append((s, e))
     return out
 
 
-def spans(t: str, given: set[str], bits: dict, threshold: float, low) -> list[tuple[str, int, int]]:
-    """(type, start, end) of all occurrences, without overlaps; grammars win over names."""
-    out: list[tuple[str, int, int]] = []
+def persons(t: str, given: set[str], bits: dict[tuple[str, str], float], threshold: float, low, may=None) -> list[tuple[int, int]] | None:
+    return judge(forms(t, low), lambda at: (front(t, at), titled(t, at)), given, bits, threshold, may)
+
+
+def add(out: list[tuple[str, int, int]], kind: str, found) -> None:
+    for s, e in found:
+        if not out or all(e <= b or s >= c for _, b, c in out):
+            out.append((kind, s, e))
 
-    def add(kind: str, found) -> None:
-        for s, e in found:
-            if not out or all(e <= b or s >= c for _, b, c in out):
-                out.append((kind, s, e))
 
-    add("email", emails(t))
-    add("address", addresses(t))
+def spans(t: str, given: set[str], bits: dict, threshold: float, low, may=None) -> tuple[list[tuple[str, int, int]], bool]:
+    """(type, start, end) of all occurrences, without overlaps, grammars win over names; and whether names are still open."""
+    out: list[tuple[str, int, int]] = []
+    add(out, "email", emails(t))
+    add(out, "address", addresses(t))
     for kind, s, e in numbers(t):
-        add(kind, [(s, e)])
-    add("person", persons(t, given, bits, threshold, low))
-    return out
+        add(out, kind, [(s, e)])
+    people = persons(t, given, bits, threshold, low, may)
+    add(out, "person", people or [])
+    return out, people is None
 
 
 def given_names(forms: DataFrame) -> set[str]:
@@ -381,15 +430,19 @@ def given_names(forms: DataFrame) -> set[str]:
     return {fold(x) for r in forms.select("short_form", "given_name").collect() for x in r}
 
 
-def find_spans(records: DataFrame, forms: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def find_spans(records: DataFrame, forms_table: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
     """(record_table, record_id, pii_type, start_char, end_char) for records (record_table, record_id, text)."""
     records = records.where(F.col("text").isNotNull() & (F.length("text") > 3))
-    given = given_names(forms)
-    bits = disclosure(records.select("text"), given)
-    shared = records.sparkSession.sparkContext.broadcast((given, bits))
+    given = given_names(forms_table)
+    bits, rare = disclosure(records.select("text"), given, share)
+    shared = records.sparkSession.sparkContext.broadcast((given, bits, sieve(rare) if rare is not None else None))
+    names = ["record_table", "record_id", "pii_type", "start_char", "end_char"]
+    schema = "record_table string, record_id bigint, pii_type string, start_char int, end_char int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given, bits = shared.value
+        given, bits, packed = shared.value
+        marks = np.unpackbits(np.frombuffer(packed, np.uint8)).tobytes() if packed else b""
+        may = (lambda kind, term: marks[_bit(kind, term)]) if packed else None
         memo: dict[str, str] = {}
 
         def low(w: str) -> str:
@@ -397,12 +450,48 @@ def find_spans(records: DataFrame, forms: DataFrame, threshold: float = THRESHOL
                 memo[w] = fold(w.strip(",."))
             return memo[w]
 
+        def unjudged(t: str, out: list) -> tuple[bytes, list[str]]:
+            """What judging needs, without the text; and the terms to look up."""
+            found = list(forms(t, low))
+            around = {x[0]: (front(t, x[0]), titled(t, x[0])) for x in found}
+            terms = {k for at, _, a, z, _, _, p in found for k in (("A", a), ("B", z), ("L", around[at][0]), ("P", p)) if k not in bits and may(*k)}
+            return pickle.dumps((out, found, around)), [f"{k}{x}" for k, x in sorted(terms)]
+
+        for b in batches:
+            rows = []
+            for rt, rid, t in zip(*(c.to_pylist() for c in b.columns)):
+                out, is_open = spans(t, given, bits, threshold, low, may)
+                rows += [(rt, rid, "", 0, 0, *unjudged(t, out))] if is_open else [(rt, rid, k, s, e, None, None) for k, s, e in out]
+            cols = list(zip(*rows)) if rows else [[]] * 7
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[*names, "rest", "terms"])
+
+    found = spread(records.select("record_table", "record_id", "text")).mapInArrow(run, schema + ", rest binary, terms array<string>")
+    if rare is None:
+        return found.select(*names).distinct()
+    found = cut(found)
+    key = ["record_table", "record_id"]
+    opened = found.where(F.col("rest").isNotNull()).dropDuplicates(key).select(*key, "rest", "terms")
+    asked = opened.select(*key, F.explode("terms").alias("x"))
+    learned = asked.join(rare.select(F.concat("kind", "term").alias("x"), "bits"), "x").groupBy(*key).agg(F.collect_list(F.struct("x", "bits")).alias("learned"))  # a text is bounded
+    opened = opened.join(learned, key, "left").select(*key, "rest", "learned")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given, bits, _ = shared.value
         for b in batches:
-            rows = [(rt, rid, k, s, e) for rt, rid, t in zip(*(c.to_pylist() for c in b.columns)) for k, s, e in spans(t, given, bits, threshold, low)]
+            rows = []
+            for rt, rid, rest, learned in zip(*(c.to_pylist() for c in b.columns)):
+                out, found, around = pickle.loads(rest)
+                more = {(x["x"][0], x["x"][1:]): x["bits"] for x in learned or []}
+                bits.update(more)
+                add(out, "person", judge(found, around.__getitem__, given, bits, threshold))
+                for k in more:
+                    del bits[k]
+                rows += [(rt, rid, k, s, e) for k, s, e in out]
             cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32())], names=["record_table", "record_id", "pii_type", "start_char", "end_char"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32()])], names=names)
 
-    return spread(records.select("record_table", "record_id", "text")).mapInArrow(run, "record_table string, record_id bigint, pii_type string, start_char int, end_char int").distinct()
+    return found.where(F.col("rest").isNull()).select(*names).unionByName(opened.mapInArrow(settle, schema)).distinct()
 
 
 def records(spark, sf_dir: str) -> DataFrame:

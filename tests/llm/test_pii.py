@@ -47,6 +47,15 @@ def test_names_are_learned(spark):
     assert P.find_spans(df.where("record_id < 0"), forms).count() == 0
 
 
+def test_rare_terms_count_in_a_large_corpus(spark):
+    rows = [("t", i, f"Emergency contact is {g} {f} on Monday. The committee of Kofoworan Steel Trading Inc met in Mill Road.") for i, (g, f) in enumerate((g, f) for g in ["Robert", "Susan", "Thomas", "Andrew"] for f in FAMILY)]
+    rows += [("t", 100, "We met Robert de Wekovilil there."), ("t", 101, "Ask de Wekovilil, Susan now."), ("t", 102, "Emergency contact is Quentin Gajucovek on Monday.")]
+    df = spark.createDataFrame(rows + rows[-2:], "record_table string, record_id bigint, text string")
+    table = spark.createDataFrame([("Rob", "Robert"), ("Sue", "Susan"), ("Tom", "Thomas"), ("Andy", "Andrew")], "short_form string, given_name string")
+    exact, floor = ({tuple(r) for r in P.find_spans(df, table, share=x).collect()} for x in (1e-9, 0.1))
+    assert floor == exact and ("t", 101, "person", 4, 23) in floor and any(r[1] == 102 for r in floor)
+
+
 def test_sanitise():
     t = "Ask Anna Berg or a@b.de."
     assert P.sanitise(t, [("person", 4, 13), ("email", 17, 23)]) == "Ask [PERSON] or [EMAIL]."
