@@ -10,14 +10,16 @@
    occurrences of misread words; a bitmap of fixed size lets it skip all other words.
 4. `repair_text` removes the page furniture, puts the readings in and reflows paragraphs.
 
-Size bounds: the vocabulary that is sent to tasks holds words seen at least max(3, SHARE x words) times,
-at most 1/SHARE words; head endings come from at least 3 files and are few; pages are bounded.
+Words seen 3 times are vocabulary, whatever the size of the corpus. Size bounds: the vocabulary that is sent to
+tasks holds words seen at least max(3, SHARE x words) times, at most 1/SHARE words; readings that are rarer come
+from a join of all confusion variants of a word (a bitmap of 2^BITS lets most out) with the counted words; head endings come from at least 3 files and are few; pages are bounded.
 Defined cases: null, empty and blank texts and pages that are not scanned have no rows.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -93,6 +95,24 @@ class Trie:
         return [(w, n, c) for w, (n, c) in out.items()]
 
 
+def variants(word: str, most: int = MAX_EDITS) -> dict[str, float]:
+    """All strings that `word` may be read from, with their cost, itself left out."""
+    out: dict[str, float] = {}
+    stack = [(0, 0, 0.0, "")]
+    while stack:
+        i, k, cost, path = stack.pop()
+        if k == most or i == len(word):
+            path += word[i:]
+            if k and path != word and cost < out.get(path, 1e9):
+                out[path] = cost
+            continue
+        stack.append((i + 1, k, cost, path + word[i]))
+        for seen, printed, price in _BY_FIRST.get(word[i], ()):
+            if word.startswith(seen, i):
+                stack.append((i + len(seen), k + 1, cost + price, path + printed))
+    return out
+
+
 def plausible(word: str, count: int, reading: str, n: int, cost: float) -> bool:
     """The reading is so much more frequent that the word is a misread of it."""
     if re.search(r"[0-9!]", word):
@@ -181,12 +201,20 @@ def count_words(pages: DataFrame, text: str = "text") -> DataFrame:
     return spread(pages.where(F.col(text).isNotNull()).select(text)).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def misreadings(words: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """(word, reading, n, cost): all plausible readings of each word."""
-    shared = words.sparkSession.sparkContext.broadcast(vocabulary)
+def misreadings(words: DataFrame, vocabulary: dict[str, int], rare: DataFrame | None = None, below: float = 0.0) -> DataFrame:
+    """(word, reading, n, cost): all plausible readings of each word, from `vocabulary` and from `rare` (word, n) with n < below."""
+    mask = (1 << BITS) - 1
+    packed = None
+    if rare is not None:
+        at = rare.select(F.crc32(F.col("word").cast("binary")).bitwiseAND(F.lit(mask)).alias("b")).distinct().toPandas().b  # at most 2^BITS
+        bits = np.zeros(1 << BITS, bool)
+        bits[at.to_numpy(np.int64)] = True
+        packed = np.packbits(bits).tobytes()
+    shared = words.sparkSession.sparkContext.broadcast((vocabulary, packed))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = Trie(shared.value)
+        trie, packed = Trie(shared.value[0]), shared.value[1]
+        marks = np.unpackbits(np.frombuffer(packed, np.uint8)).tobytes() if packed else b""
         for pdf in frames:
             rows = []
             for w, n in zip(pdf.word, pdf.n):
@@ -194,17 +222,32 @@ def misreadings(words: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
                     if not (2 <= len(w) <= 12 and number_reading(w)):
                         continue
                 if r := number_reading(w):
-                    rows.append((w, r, 1, 1.0))
+                    rows.append((w, r, 1, 1.0, n, ""))
                     continue
                 if not any(c.isalpha() for c in w):
                     continue
-                found = [(w, r, m, c) for r, m, c in trie.readings(w) if plausible(w, n, r, m, c)]
+                found = [(w, r, m, c, n, "") for r, m, c in trie.readings(w) if plausible(w, n, r, m, c)]
                 if not found and (r := literal_reading(w)):
-                    found = [(w, r, 1, 1.0)]
+                    found = [(w, r, 1, 1.0, n, "literal")]
                 rows += found
-            yield pd.DataFrame(rows, columns=["word", "reading", "n", "cost"])
+                if marks and 2 * n < below:  # a reading is at least twice as frequent
+                    rows += [(w, v, 0, c, n, "rare") for v, c in variants(w).items() if marks[zlib.crc32(v.encode("utf-8", "replace")) & mask]]
+            yield pd.DataFrame(rows, columns=["word", "reading", "n", "cost", "seen", "kind"])
+
+    read = words.mapInPandas(run, "word string, reading string, n bigint, cost double, seen bigint, kind string")
+    cols = ["word", "reading", "n", "cost"]
+    if rare is None:
+        return read.select(cols)
+    read = cut(read)
+
+    @F.pandas_udf("boolean")
+    def fits(word: pd.Series, seen: pd.Series, reading: pd.Series, n: pd.Series, cost: pd.Series) -> pd.Series:
+        return pd.Series([plausible(*x) for x in zip(word, seen, reading, n, cost)], dtype=bool)
 
-    return words.mapInPandas(run, "word string, reading string, n bigint, cost double")
+    more = read.where("kind = 'rare'").drop("n").join(rare.select(F.col("word").alias("reading"), "n"), "reading")
+    more = cut(more.where(fits("word", "seen", "reading", "n", "cost")).select(cols))
+    literal = read.where("kind = 'literal'").join(more.select("word").distinct(), "word", "left_anti")  # only where no word helps
+    return read.where("kind = ''").select(cols).unionByName(literal.select(cols)).unionByName(more)
 
 
 def _bucket(word: str) -> int:
@@ -296,9 +339,11 @@ def noise(all_pages: DataFrame, pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     words = cut(count_words(all_pages))
     total = words.agg(F.sum("n").alias("n")).first()["n"] or 0
-    frequent = words.where(F.col("n") >= max(3.0, SHARE * total)).where(~F.col("word").rlike("[0-9@!]")).toPandas()  # at most 1 / SHARE words
+    known = words.where((F.col("n") >= 3) & ~F.col("word").rlike("[0-9@!]"))
+    below = SHARE * total
+    frequent = known.where(F.col("n") >= below).toPandas()  # at most 1 / SHARE words
     vocabulary = dict(zip(frequent.word, frequent.n.tolist()))
-    wrong = cut(misreadings(words, vocabulary))
+    wrong = cut(misreadings(words, vocabulary, known.where(F.col("n") < below) if below > 3 else None, below))
     bucket = _bucket_of()
     buckets = wrong.select(bucket("word").alias("b")).distinct().toPandas().b  # at most 2^BITS
     bits = np.zeros(1 << BITS, bool)

@@ -55,6 +55,17 @@ def test_noise(spark):
     assert by["misread"] == [(5, 4, "flagged"), (5, 4, "revised")]
 
 
+def test_rare_words_are_readings_in_a_large_corpus(spark, monkeypatch):
+    assert {v for v in O.variants("il1egi6le")} == _brute("il1egi6le", {v for v in O.variants("il1egi6le")}, 2) >= {"illegible"}
+    texts = [("f", n, "The cinenegrix of napulitis.") for n in range(8)] + [("g", 1, "A cinencgrix of napu1itls."), ("g", 2, "Some vo1karen")]
+    words = spark.createDataFrame([(t,) for _, _, t in texts] + [("the of a",)] * 200, "text string")
+    runs = []
+    for share in (0.0, 0.05):
+        monkeypatch.setattr(O, "SHARE", share)
+        runs.append({tuple(r) for r in O.noise(words, _pages(spark, texts)).where("noise_kind = 'misread'").collect()})
+    assert runs[0] == runs[1] and {r[-1] for r in runs[1]} == {"cinenegrix", "napulitis", "volkaren"}
+
+
 def _tables(tmp_path, spark, pages, blocks):
     spark.createDataFrame(pages, "page_id bigint, file_name string, page_num int, is_scanned boolean, text string, rich_text string").write.parquet(f"{tmp_path}/extracted_pages.parquet")
     spark.createDataFrame(blocks, "block_id bigint, page_id bigint, file_name string, page int, block_no int, text string").write.parquet(f"{tmp_path}/text_blocks.parquet")
