@@ -90,36 +90,62 @@ def segments(n: int, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def similar_pairs(strings: DataFrame, by: list[str], col: str, k: int) -> DataFrame:
+def segment_keys(s: str, k: int) -> list[str]:
+    """Keys of the k+1 segments of an indexed string: its length, the segment's number and its characters."""
+    return [f"{len(s)}:{i}:{s[a : a + n]}" for i, (a, n) in enumerate(segments(len(s), k))]
+
+
+def probe_keys(s: str, k: int) -> list[str]:
+    """Keys under which every string within k edits of `s` has a segment in the index.
+
+    An insertion, deletion or substitution touches one segment, so one of k+1 stays intact at most k places away. A
+    transposition touches two if it straddles a joint; it is undone by swapping the characters at the joint in `s`,
+    and the swapped string is within k-1 edits.
+    """
+    forms = {s: k}
+    for used in range(1, k + 1):
+        for f in [f for f, left in forms.items() if left == k - used + 1]:
+            far = k - used
+            for length in range(max(2, len(s) - far), len(s) + far + 1):
+                for a, _ in segments(length, k)[1:]:
+                    for j in range(max(1, a - far), min(len(f) - 1, a + far) + 1):
+                        forms.setdefault(f[: j - 1] + f[j] + f[j - 1] + f[j + 1 :], k - used)
+    out = set()
+    for f, left in forms.items():
+        for length in range(max(1, len(f) - left), len(f) + left + 1):
+            for i, (a, n) in enumerate(segments(length, k)):
+                for at in range(max(0, a - left), min(len(f) - n, a + left) + 1):
+                    out.add(f"{length}:{i}:{f[at : at + n]}")
+    return sorted(out)
+
+
+def similar_pairs(strings: DataFrame, by: list[str], col: str, k: int, others: DataFrame | None = None) -> DataFrame:
     """Pairs (by..., a, b), a < b, of distinct strings within k edits (Levenshtein with transpositions).
 
-    A transposition counts as one edit but may touch two segments, so the index uses 2k edits' worth of
-    segments for it: with k edits, at most 2k segments are touched and one of 2k+1 stays intact.
+    With `others` (by..., col) the pairs of a string (a) with another of those (b), in any order.
+    A key holds a segment of a (k+1)-th of the string and its length; most candidates are settled by Spark's banded
+    distance, where a transposition counts twice, before the exact check.
     """
-    parts = 2 * k
 
-    @F.udf("array<struct<l:int,i:int,s:string>>")
-    def index(s):
-        return [(len(s), i, s[a : a + n]) for i, (a, n) in enumerate(segments(len(s), parts))] if s else []
+    def keys(make):
+        @F.pandas_udf("array<string>")
+        def of(s: pd.Series) -> pd.Series:
+            return s.map(lambda x: make(x, k))
 
-    @F.udf("array<struct<l:int,i:int,s:string>>")
-    def probe(s):
-        out = set()
-        for length in range(max(1, len(s) - k), len(s) + k + 1):
-            for i, (a, n) in enumerate(segments(length, parts)):
-                for at in range(max(0, a - k), min(len(s) - n, a + k) + 1):
-                    out.add((length, i, s[at : at + n]))
-        return list(out)
+        return of
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([osa(x, y, k) <= k for x, y in zip(a, b)])
-
-    base = strings.select(*by, F.col(col).alias("a")).where(F.length("a") > 2 * k + 1)
-    left = base.select(*by, "a", F.explode(index("a")).alias("x")).select(*by, "a", "x.*")
-    right = base.withColumnRenamed("a", "b").select(*by, "b", F.explode(probe("b")).alias("x")).select(*by, "b", "x.*")
-    pairs = left.join(right, [*by, "l", "i", "s"]).where(F.col("a") < F.col("b")).select(*by, "a", "b").distinct()
-    return pairs.where(near("a", "b"))
+        return pd.Series([osa(x, y, k) <= k for x, y in zip(a, b)], dtype=bool)
+
+    base = strings.select(*by, F.col(col).alias("a")).where(F.length("a") > k)
+    right = base.withColumnRenamed("a", "b") if others is None else others.select(*by, F.col(col).alias("b")).where(F.length("b") > 0)
+    left = base.select(*by, "a", F.explode(keys(segment_keys)("a")).alias("x"))
+    right = right.select(*by, "b", F.explode(keys(probe_keys)("b")).alias("x"))
+    pairs = left.join(right, [*by, "x"]).where(F.col("a") < F.col("b") if others is None else F.col("a") != F.col("b"))
+    far = F.levenshtein("a", "b", 2 * k)
+    pairs = pairs.where(far >= 0).select(*by, "a", "b").distinct()
+    return pairs.where((F.levenshtein("a", "b", k) >= 0) | near("a", "b"))
 
 
 def learn_lexicon(names: DataFrame) -> dict[str, dict[str, int]]:

@@ -1,40 +1,53 @@
 """Problem 5: noise in text from scanned pages.
 
 1. Words of all pages are counted (per task, then by word), over text, rich_text and blocks; copies of a line count once.
-2. Every counted word is run through the vocabulary trie together with an automaton that accepts the
-   word under at most MAX_EDITS visual confusions (a Levenshtein automaton whose edits are the shapes
-   that reading confuses: one or two characters for one or two others). This gives all vocabulary
-   words that it may stand for, not a guess; they are ranked by edits, by how often the candidate
-   follows the word in front, and by frequency. A word with a far more frequent reading is a misread.
+2. Every counted word is run through the vocabulary trie together with a Levenshtein automaton: one plain edit
+   (insertion, deletion, substitution, transposition), two for words of LONG letters, and visual confusions, one or two
+   characters read as one or two others, as edits of their own; MAX_EDITS in all. This gives all vocabulary
+   words that it may stand for, not a guess; they are ranked by cost (a confusion is cheap, a plain edit dear), by how
+   often the candidate follows the word in front, and by frequency. A word with a far more frequent reading is a misread;
+   one that only plain edits explain must besides stand behind a word that the reading follows elsewhere, as else
+   names and inflected words would turn into their neighbours.
 3. One pass over the pages finds running heads, page numbers, words broken over lines and the
-   occurrences of misread words; a bitmap of fixed size lets it skip all other words.
+   occurrences of misread words; a bitmap lets it skip all other words. A head that stands on one page only counts
+   if it ends like heads of other files, or within two edits of such an ending (segment join).
 4. `repair_text` removes the page furniture, puts the readings in and reflows paragraphs.
 
-Words seen 3 times are vocabulary, whatever the size of the corpus. Size bounds: the vocabulary that is sent to
-tasks holds words seen at least max(3, SHARE x words) times, at most 1/SHARE words; readings that are rarer come
-from a join of all confusion variants of a word (a bitmap of 2^BITS lets most out) with the counted words; head endings come from at least 3 files and are few; pages are bounded.
+Words seen 3 times are vocabulary, whatever the size of the corpus. Numbers are an open class: the automaton of their
+confusions is intersected with the form of a number instead of a list (`number_reading`). Size bounds: the trie that is
+sent to tasks holds the VOCABULARY most frequent words at most; rarer readings come from joins, of all confusion variants
+of a word with the counted words and of strings with deletions, so no reading is lost. Bitmaps are those of `sieve`;
+pages are bounded. Strings of more than 100 characters are no words.
 Defined cases: null, empty and blank texts and pages that are not scanned have no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.names import osa
+from paperloom.llm import sieve
+from paperloom.llm.names import osa, similar_pairs
 from paperloom.session import cut, spread, table
 
-SHARE = 2e-6
+#: Words of the trie that is sent to tasks, at most; readings beyond them come from joins.
+VOCABULARY = 100_000
 MAX_EDITS = 2
-BITS = 22
+#: Words of this length may have two plain edits.
+LONG = 8
+#: Cost of a plain edit; a visual confusion costs 1 or 1.5.
+PLAIN = 3.0
+#: Least count of a reading with plain edits, absolute and for each occurrence of the word.
+PLAIN_FLOOR, PLAIN_RATIO = 100, 200
+#: Entries after which a task hands on its counts.
+FLUSH = 300_000
 # What reading confuses, written (as read, as printed).
 CONFUSIONS = """
 c e; á a; f t; ! i; 0 o; l i; 1 l; 5 s; cl d; ii u; 9 g; rn m; li h; vv w; 6 b; n ri; d cl; m rn; 1 i; 8 b; i l; t f; e c; o 0; à a; ô o; nn m; u ii; h li; w vv; 3 e; 4 a; q g; z 2; 7 t; ó o; í i
@@ -59,44 +72,77 @@ def bare(token: str) -> str:
 
 
 class Trie:
-    """Vocabulary as nested dicts; the key None holds the count of a word that ends there."""
+    """Vocabulary; a node is [children, count of the word that ends there, largest count at or below it]."""
 
     def __init__(self, counts: dict[str, int]):
-        self.root: dict = {}
+        self.root: list = [{}, 0, 0]
         for w, n in counts.items():
             node = self.root
+            node[2] = max(node[2], n)
             for c in w:
-                node = node.setdefault(c, {})
-            node[None] = n
-
-    def readings(self, word: str, most: int = MAX_EDITS) -> list[tuple[str, int, float]]:
-        """(vocabulary word, count, cost) of all words that `word` may be read from, itself left out."""
+                nxt = node[0].get(c)
+                if nxt is None:
+                    nxt = node[0][c] = [{}, 0, 0]
+                node = nxt
+                if n > node[2]:
+                    node[2] = n
+            node[1] = n
+
+    def readings(self, word: str, most: int = MAX_EDITS, plain: int | None = None, least: int = 1, least_plain: int = 1) -> list[tuple[str, int, float]]:
+        """(vocabulary word, count, cost) of all words within the edits of `word`, itself left out.
+
+        The automaton is a Levenshtein automaton (insertion, deletion, substitution, neighbouring transposition; at most
+        `plain` of them, by default one, or two for LONG words) widened by visual confusions; at most `most` edits in all.
+        Branches of the trie in which no word is as frequent as `least`, or `least_plain` once a plain edit is used,
+        are not entered; words that are follow completely.
+        """
+        n = len(word)
+        if plain is None:
+            plain = 2 if n >= LONG else 1
         out: dict[str, tuple[int, float]] = {}
-        # states of the product of automaton and trie: position in word, edits, cost, node, path
-        stack = [(0, 0, 0.0, self.root, "")]
+        # states of the product of automaton and trie: position in word, edits, plain edits, cost, node, path
+        stack = [(0, 0, 0, 0.0, self.root, "")]
+        push = stack.append
         while stack:
-            i, k, cost, node, path = stack.pop()
-            if i == len(word):
-                if k and None in node and path != word and (path not in out or out[path][1] > cost):
-                    out[path] = (node[None], cost)
-                continue
-            if word[i] in node:
-                stack.append((i + 1, k, cost, node[word[i]], path + word[i]))
-            if k < most:
-                for seen, printed, price in _BY_FIRST.get(word[i], ()):
-                    if word.startswith(seen, i):
-                        nxt = node
-                        for c in printed:
-                            nxt = nxt.get(c)
-                            if nxt is None:
-                                break
-                        if nxt is not None:
-                            stack.append((i + len(seen), k + 1, cost + price, nxt, path + printed))
+            i, k, p, cost, node, path = stack.pop()
+            kids, count, top = node
+            if i == n:
+                if k and count >= (least_plain if p else least) and count and path != word and (path not in out or out[path][1] > cost):
+                    out[path] = (count, cost)
+            else:
+                c = word[i]
+                nxt = kids.get(c)
+                if nxt is not None and nxt[2] >= (least_plain if p else least):
+                    push((i + 1, k, p, cost, nxt, path + c))
+                if k < most:
+                    for seen, printed, price in _BY_FIRST.get(c, ()):
+                        if word.startswith(seen, i):
+                            nxt = node
+                            for x in printed:
+                                nxt = nxt[0].get(x)
+                                if nxt is None:
+                                    break
+                            if nxt is not None and nxt[2] >= (least_plain if p else least):
+                                push((i + len(seen), k + 1, p, cost + price, nxt, path + printed))
+            if k < most and p < plain and top >= least_plain:
+                more = cost + PLAIN
+                if i < n:
+                    push((i + 1, k + 1, p + 1, more, node, path))
+                    if i + 1 < n and word[i] != word[i + 1]:
+                        nxt = kids.get(word[i + 1])
+                        nxt = nxt and nxt[0].get(word[i])
+                        if nxt and nxt[2] >= least_plain:
+                            push((i + 2, k + 1, p + 1, more, nxt, path + word[i + 1] + word[i]))
+                for x, nxt in kids.items():
+                    if nxt[2] >= least_plain:
+                        push((i, k + 1, p + 1, more, nxt, path + x))
+                        if i < n and x != word[i]:
+                            push((i + 1, k + 1, p + 1, more, nxt, path + x))
         return [(w, n, c) for w, (n, c) in out.items()]
 
 
 def variants(word: str, most: int = MAX_EDITS) -> dict[str, float]:
-    """All strings that `word` may be read from, with their cost, itself left out."""
+    """All strings that `word` may be read from by confusions alone, with their cost, itself left out."""
     out: dict[str, float] = {}
     stack = [(0, 0, 0.0, "")]
     while stack:
@@ -113,8 +159,19 @@ def variants(word: str, most: int = MAX_EDITS) -> dict[str, float]:
     return out
 
 
+def deletions(word: str, k: int) -> set[str]:
+    """The word with up to k characters left out; words within k plain edits share one of them."""
+    out = layer = {word}
+    for _ in range(k):
+        layer = {w[:i] + w[i + 1 :] for w in layer for i in range(len(w))}
+        out = out | layer
+    return out
+
+
 def plausible(word: str, count: int, reading: str, n: int, cost: float) -> bool:
     """The reading is so much more frequent that the word is a misread of it."""
+    if cost >= PLAIN:  # no confusion of shapes: only a word hardly ever seen, in place of a frequent one
+        return n >= least_for_plain(word, count)
     if re.search(r"[0-9!]", word):
         if len(word) <= 2:
             return n >= 500 and n >= 20 * count
@@ -126,6 +183,11 @@ def plausible(word: str, count: int, reading: str, n: int, cost: float) -> bool:
     return n >= (4 if cost < 2 else 12) * count and n >= 3
 
 
+def least_for_plain(word: str, count: int) -> float:
+    """How frequent a reading with plain edits must be."""
+    return max(PLAIN_FLOOR, PLAIN_RATIO * count) if len(word) >= 6 and word.isalpha() else math.inf
+
+
 def number_reading(word: str) -> str | None:
     """A number in which one or two digits were read as letters."""
     if re.fullmatch(r"[\d.,]*[oliz][\d.,]*[oliz]?[\d.,]*", word) and len(re.findall(r"\d", word)) >= 1 and len(word) >= 2 and sum(c.isdigit() for c in word) >= sum(c.isalpha() for c in word):
@@ -189,49 +251,53 @@ def count_words(pages: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw: Counter = Counter()
+
+        def counted() -> pa.RecordBatch:
+            total: Counter = Counter()
+            for t, n in raw.items():
+                if t[-1] not in HYPHENS and (w := bare(t)):
+                    total[w] += n
+            raw.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+
         for b in batches:
             for t in b.column(0).to_pylist():
                 raw.update(t.split())
-        total: Counter = Counter()
-        for t, n in raw.items():
-            if t[-1] not in HYPHENS and (w := bare(t)):
-                total[w] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+                if len(raw) > FLUSH:
+                    yield counted()
+        yield counted()
 
     return spread(pages.where(F.col(text).isNotNull()).select(text)).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def misreadings(words: DataFrame, vocabulary: dict[str, int], rare: DataFrame | None = None, below: float = 0.0) -> DataFrame:
     """(word, reading, n, cost): all plausible readings of each word, from `vocabulary` and from `rare` (word, n) with n < below."""
-    mask = (1 << BITS) - 1
-    packed = None
-    if rare is not None:
-        at = rare.select(F.crc32(F.col("word").cast("binary")).bitwiseAND(F.lit(mask)).alias("b")).distinct().toPandas().b  # at most 2^BITS
-        bits = np.zeros(1 << BITS, bool)
-        bits[at.to_numpy(np.int64)] = True
-        packed = np.packbits(bits).tobytes()
+    packed = sieve.build(rare, F.col("word")) if rare is not None else None
     shared = words.sparkSession.sparkContext.broadcast((vocabulary, packed))
+    near = rare is not None and below > PLAIN_FLOOR
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie, packed = Trie(shared.value[0]), shared.value[1]
-        marks = np.unpackbits(np.frombuffer(packed, np.uint8)).tobytes() if packed else b""
         for pdf in frames:
             rows = []
             for w, n in zip(pdf.word, pdf.n):
-                if len(w) < 2 or len(w) > 40 or "@" in w or sum(c.isdigit() for c in w) > 2:
+                if len(w) < 2 or len(w) > 100 or "@" in w or sum(map(str.isdigit, w)) > 2:
                     if not (2 <= len(w) <= 12 and number_reading(w)):
                         continue
                 if r := number_reading(w):
                     rows.append((w, r, 1, 1.0, n, ""))
                     continue
-                if not any(c.isalpha() for c in w):
+                if not any(map(str.isalpha, w)):
                     continue
-                found = [(w, r, m, c, n, "") for r, m, c in trie.readings(w) if plausible(w, n, r, m, c)]
-                if not found and (r := literal_reading(w)):
-                    found = [(w, r, 1, 1.0, n, "literal")]
+                least = least_for_plain(w, n)
+                found = [(w, r, m, c, n, "") for r, m, c in trie.readings(w, plain=None if least < math.inf else 0, least_plain=least) if plausible(w, n, r, m, c)]
+                if not any(x[3] < PLAIN for x in found) and (r := literal_reading(w)):
+                    found.append((w, r, 1, 1.0, n, "literal"))
                 rows += found
-                if marks and 2 * n < below:  # a reading is at least twice as frequent
-                    rows += [(w, v, 0, c, n, "rare") for v, c in variants(w).items() if marks[zlib.crc32(v.encode("utf-8", "replace")) & mask]]
+                if packed and 2 * n < below:  # a reading is at least twice as frequent
+                    rows += [(w, v, 0, c, n, "rare") for v, c in variants(w).items() if sieve.hit(*packed, v)]
+                if near and least < below:
+                    rows.append((w, "", 0, 0.0, n, "near"))
             yield pd.DataFrame(rows, columns=["word", "reading", "n", "cost", "seen", "kind"])
 
     read = words.mapInPandas(run, "word string, reading string, n bigint, cost double, seen bigint, kind string")
@@ -244,30 +310,40 @@ def misreadings(words: DataFrame, vocabulary: dict[str, int], rare: DataFrame |
     def fits(word: pd.Series, seen: pd.Series, reading: pd.Series, n: pd.Series, cost: pd.Series) -> pd.Series:
         return pd.Series([plausible(*x) for x in zip(word, seen, reading, n, cost)], dtype=bool)
 
-    more = read.where("kind = 'rare'").drop("n").join(rare.select(F.col("word").alias("reading"), "n"), "reading")
-    more = cut(more.where(fits("word", "seen", "reading", "n", "cost")).select(cols))
-    literal = read.where("kind = 'literal'").join(more.select("word").distinct(), "word", "left_anti")  # only where no word helps
+    more = read.where("kind = 'rare'").drop("n").join(rare.select(F.col("word").alias("reading"), "n"), "reading").select(*cols, "seen")
+    if near:
+        more = more.unionByName(plain_readings(read.where("kind = 'near'").select("word", "seen"), rare.where(F.col("n") >= PLAIN_FLOOR)))
+    more = cut(more.where(fits("word", "seen", "reading", "n", "cost")).select(cols).distinct())
+    literal = read.where("kind = 'literal'").join(more.where(F.col("cost") < PLAIN).select("word").distinct(), "word", "left_anti")  # only where no word helps
     return read.where("kind = ''").select(cols).unionByName(literal.select(cols)).unionByName(more)
 
 
-def _bucket(word: str) -> int:
-    h = 1469598103934665603
-    for b in word.encode("utf-8", "surrogatepass"):
-        h = ((h ^ b) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
-    return (h ^ (h >> 32)) & ((1 << BITS) - 1)
+def plain_readings(words: DataFrame, rare: DataFrame) -> DataFrame:
+    """(word, reading, n, cost, seen) of rare words within the automaton's edits, by a join on deletions.
+
+    A word and its reading share a string that deletions leave of both, after one confusion of the word where
+    there is one; the automaton gives the cost.
+    """
 
+    @F.pandas_udf("array<string>")
+    def left(word: pd.Series) -> pd.Series:
+        return word.map(lambda w: sorted(deletions(w, 2 if len(w) >= LONG else 1) | {x for v in variants(w, 1) for x in deletions(v, 1)}))
 
-def _bucket_of():
-    """_bucket as an Arrow function of a column."""
+    @F.pandas_udf("array<string>")
+    def right(word: pd.Series) -> pd.Series:
+        return word.map(lambda w: sorted(deletions(w, 2 if len(w) >= LONG - 2 else 1)))
 
-    @F.pandas_udf("int")
-    def of(words: pd.Series) -> pd.Series:
-        return words.map(_bucket)
+    @F.pandas_udf("double")
+    def price(word: pd.Series, reading: pd.Series) -> pd.Series:
+        return pd.Series([next((c for _, _, c in Trie({r: 1}).readings(w)), None) for w, r in zip(word, reading)], dtype=float)
 
-    return of
+    a = words.select("word", "seen", F.explode(left("word")).alias("x"))
+    b = rare.select(F.col("word").alias("reading"), "n", F.explode(right("word")).alias("x"))
+    pairs = a.join(b, "x").where("word <> reading").select("word", "reading", "n", "seen").distinct()
+    return pairs.withColumn("cost", price("word", "reading")).where(F.col("cost") >= PLAIN)
 
 
-def page_events(pages: DataFrame, bitmap: bytes) -> DataFrame:
+def page_events(pages: DataFrame, bitmap: tuple[bytes, int]) -> DataFrame:
     """Events of pages (rec, file, page, lines array<string>, ids array<bigint>).
 
     kind H: broken word (a, b, hyphen in `c`); P: page number; T: form of a head (text in a);
@@ -277,20 +353,20 @@ def page_events(pages: DataFrame, bitmap: bytes) -> DataFrame:
     schema = "rec string, file string, id bigint, line_no int, kind string, a string, b string, c string"
 
     class Flag(dict):
-        def __init__(self, bits):
-            self.bits = bits
+        def __init__(self, packed, mask):
+            self.packed, self.mask = packed, mask
 
         def __missing__(self, token):
             w = bare(token)
             # parts of postcodes and the written form of a lane are what they are
-            code = _CODE.fullmatch(token) is not None
-            v = w if len(w) > 1 and not code and self.bits[_bucket(w)] else None
-            if len(self) < 2_000_000:
-                self[token] = v
+            v = w if len(w) > 1 and sieve.hit(self.packed, self.mask, w) and _CODE.fullmatch(token) is None else None
+            if len(self) > FLUSH:
+                self.clear()
+            self[token] = v
             return v
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flag = Flag(np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool))
+        flag = Flag(*shared.value)
         for batch in batches:
             out: list[tuple] = []
             for rec, file, page, pid, lines, ids in zip(*(c.to_pylist() for c in batch.columns)):
@@ -338,54 +414,39 @@ def noise(all_pages: DataFrame, pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     words = cut(count_words(all_pages))
-    total = words.agg(F.sum("n").alias("n")).first()["n"] or 0
     known = words.where((F.col("n") >= 3) & ~F.col("word").rlike("[0-9@!]"))
-    below = SHARE * total
-    frequent = known.where(F.col("n") >= below).toPandas()  # at most 1 / SHARE words
+    below = rare_below(known)
+    frequent = known.where(F.col("n") >= below).toPandas()  # at most VOCABULARY words
     vocabulary = dict(zip(frequent.word, frequent.n.tolist()))
     wrong = cut(misreadings(words, vocabulary, known.where(F.col("n") < below) if below > 3 else None, below))
-    bucket = _bucket_of()
-    buckets = wrong.select(bucket("word").alias("b")).distinct().toPandas().b  # at most 2^BITS
-    bits = np.zeros(1 << BITS, bool)
-    bits[buckets.to_numpy(np.int64)] = True
-    events = cut(page_events(pages, np.packbits(bits).tobytes()))
+    events = cut(page_events(pages, sieve.build(wrong.select("word").distinct(), F.col("word"))))
     key = ["rec", "id", "line_no"]
     numbers = events.where("kind = 'P'").select("rec", "id", F.lit("page_number").alias("noise_kind"), "line_no", F.lit("").alias("repaired"))
 
     # heads: the same on several pages of a file, or ending like heads that are
     heads = events.where("kind = 'T'").select("rec", "file", "id", "line_no", "a")
-    repeated = heads.groupBy("rec", "file", "a").agg(F.countDistinct("id").alias("n")).where("n >= 2")
+    repeated = cut(heads.groupBy("rec", "file", "a").agg(F.countDistinct("id").alias("n")).where("n >= 2"))
     ending = F.regexp_extract("a", r"(\S+ \S+)$", 1)
-    tails = repeated.where("n >= 3").groupBy(ending.alias("tail")).agg(F.countDistinct("file").alias("files")).where("files >= 3").orderBy(F.desc("files")).limit(500)
-    known_tails = [r.tail for r in tails.collect()]  # at most 500
-    shared = spark.sparkContext.broadcast(known_tails)
-
-    @F.pandas_udf("boolean")
-    def like_tail(a: pd.Series) -> pd.Series:
-        exact = set(shared.value)
-        memo: dict[str, bool] = {}
-
-        def one(s: str) -> bool:
-            t = " ".join(s.split()[-2:])
-            if t not in memo:
-                memo[t] = t in exact or any(osa(t, x, 2) <= 2 for x in exact)
-            return memo[t]
-
-        return a.map(one)
-
-    found = heads.join(repeated, ["rec", "file", "a"], "left").where(F.col("n").isNotNull() | like_tail("a"))
+    tails = cut(repeated.where("n >= 3").groupBy(ending.alias("tail")).agg(F.countDistinct("file").alias("files")).where("files >= 3 and tail <> ''").select("tail"))
+    lone = cut(heads.join(repeated, ["rec", "file", "a"], "left_anti").withColumn("tail", ending))
+    other = lone.select("tail").where("tail <> ''").distinct()
+    misread_tails = similar_pairs(tails, [], "tail", 2, other).select(F.col("b").alias("tail"))
+    alike = cut(tails.unionByName(misread_tails).distinct())
+    found = heads.join(repeated, ["rec", "file", "a"], "left_semi").select("rec", "id", "line_no").unionByName(lone.join(alike, "tail", "left_semi").select("rec", "id", "line_no"))
     found = found.select("rec", "id", F.lit("running_head").alias("noise_kind"), "line_no", F.lit("").alias("repaired"))
 
     # readings; several of one word are ranked by the word in front
-    best = wrong.groupBy("word").agg(F.count("*").alias("k"), F.max_by("reading", F.struct(-F.col("cost"), F.col("n"), "reading")).alias("top"))
+    best = cut(wrong.groupBy("word").agg(F.count("*").alias("k"), F.max_by("reading", F.struct(-F.col("cost"), F.col("n"), "reading")).alias("top"), (F.min("cost") >= PLAIN).alias("plain")))
     seen = events.where("kind = 'W'").join(best, F.col("a") == F.col("word"))
-    single = seen.where("k = 1").select(*key, F.col("top").alias("repaired"))
-    many = seen.where("k > 1").select(*key, "word", "b", "top")
+    single = seen.where("k = 1 and not plain").select(*key, F.col("top").alias("repaired"))
+    many = seen.where("k > 1 or plain").select(*key, "word", "b", "top", "plain")
     # how often a candidate follows the word in front elsewhere, from the occurrences that need no repair
-    options = many.select("word", "b").distinct().join(wrong.select("word", "reading", "n", "cost"), "word")
+    options = cut(many.select("word", "b").distinct().join(wrong.select("word", "reading", "n", "cost"), "word"))
     ranked = options.join(pair_counts(all_pages, options), ["b", "reading"], "left")
-    choice = ranked.groupBy("word", "b").agg(F.max_by("reading", F.log1p(F.coalesce("pairs", F.lit(0))) * 2 - F.col("cost") * 4 + F.log1p("n")).alias("chosen"))
-    several = many.join(choice, ["word", "b"], "left").select(*key, F.coalesce("chosen", "top").alias("repaired"))
+    # a plain edit needs the word in front to bear it out
+    ranked = ranked.where((F.col("cost") < PLAIN) | (F.coalesce("pairs", F.lit(0)) >= 2))
+    choice = cut(ranked.groupBy("word", "b").agg(F.max_by("reading", F.log1p(F.coalesce("pairs", F.lit(0))) * 2 - F.col("cost") * 4 + F.log1p("n")).alias("chosen")))
+    several = many.join(choice, ["word", "b"], "left").where("chosen is not null or not plain").select(*key, F.coalesce("chosen", "top").alias("repaired"))
     misread = single.unionByName(several).select("rec", "id", F.lit("misread").alias("noise_kind"), "line_no", "repaired")
 
     # broken words: joined, or with a hyphen of their own
@@ -393,7 +454,7 @@ def noise(all_pages: DataFrame, pages: DataFrame) -> DataFrame:
     forms = broken.select(F.explode(F.array("joined", "dashed")).alias("word")).distinct().join(words, "word")
     broken = broken.join(forms.select(F.col("word").alias("joined"), F.col("n").alias("nj")), "joined", "left").join(forms.select(F.col("word").alias("dashed"), F.col("n").alias("nd")), "dashed", "left")
     nj, nd = F.coalesce("nj", F.lit(0)), F.coalesce("nd", F.lit(0))
-    broken = broken.join(best.select(F.col("word").alias("joined"), "top"), "joined", "left")
+    broken = broken.join(best.where("not plain").select(F.col("word").alias("joined"), "top"), "joined", "left")
     # a suspended part ("short- and") is no broken word
     broken = broken.where(~(F.col("b").isin(*SUSPENDED) & (F.col("c") == "-") & (nj == 0)))
     whole = F.when((nd > nj) & (F.col("c") == "-"), F.col("dashed")).otherwise(F.coalesce("top", "joined"))
@@ -401,38 +462,54 @@ def noise(all_pages: DataFrame, pages: DataFrame) -> DataFrame:
     return numbers.unionByName(found).unionByName(misread).unionByName(broken).distinct()
 
 
+def rare_below(known: DataFrame) -> int:
+    """The least power of two such that at most VOCABULARY words are as frequent, or 3 if all words are that few."""
+    level = F.floor(F.log2("n")).cast("int")
+    sizes = {r.v: r.c for r in known.groupBy(level.alias("v")).agg(F.count("*").alias("c")).collect()}  # a row a power of two
+    if sum(sizes.values()) <= VOCABULARY:
+        return 3
+    total = 0
+    for v in sorted(sizes, reverse=True):
+        total += sizes[v]
+        if total > VOCABULARY:
+            return 2 ** (v + 1)
+    return 3
+
+
 def pair_counts(pages: DataFrame, options: DataFrame) -> DataFrame:
     """(b, reading, pairs): how often the reading follows b, for the pairs asked for."""
-    bucket = _bucket_of()
-    asked = options.select("b", "reading").distinct()
-    buckets = asked.select(bucket(F.concat_ws(" ", "b", "reading")).alias("x")).distinct().toPandas().x  # at most 2^BITS
-    bits = np.zeros(1 << BITS, bool)
-    bits[buckets.to_numpy(np.int64)] = True
-    shared = pages.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
-    second = np.zeros(1 << BITS, bool)
-    second[asked.select(bucket("reading").alias("x")).distinct().toPandas().x.to_numpy(np.int64)] = True
-    shared2 = pages.sparkSession.sparkContext.broadcast(np.packbits(second).tobytes())
+    asked = cut(options.select("b", "reading").distinct())
+    shared = pages.sparkSession.sparkContext.broadcast((sieve.build(asked, F.col("reading")), sieve.build(asked, F.concat_ws(" ", "b", "reading"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
-        one = np.unpackbits(np.frombuffer(shared2.value, np.uint8)).astype(bool)
+        one, pair = shared.value
         memo: dict[str, str | None] = {}
         out: Counter = Counter()
+
+        def counted() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.string()), pa.array(list(out.values()), pa.int64())], names=["b", "reading", "n"])
+            out.clear()
+            return got
+
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 before = ""
                 for tok in t.split():
                     if tok not in memo:
+                        if len(memo) > FLUSH:
+                            memo.clear()
                         w = bare(tok)
-                        memo[tok] = w if w and one[_bucket(w)] else None
+                        memo[tok] = w if w and sieve.hit(*one, w) else None
                     if (w := memo[tok]) is not None:
                         b = bare(before)
-                        if pair[_bucket(f"{b} {w}")]:
+                        if sieve.hit(*pair, f"{b} {w}"):
                             out[(b, w)] += 1
                     before = tok
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.string()), pa.array(list(out.values()), pa.int64())], names=["b", "reading", "n"])
+            if len(out) > FLUSH:
+                yield counted()
+        yield counted()
 
-    return spread(pages.where(F.col("text").isNotNull()).select("text")).mapInArrow(run, "b string, reading string, n bigint").groupBy("b", "reading").agg(F.sum("n").alias("pairs"))
+    return spread(pages.where(F.col("text").isNotNull()).select("text")).mapInArrow(run, "b string, reading string, n bigint").join(asked, ["b", "reading"], "left_semi").groupBy("b", "reading").agg(F.sum("n").alias("pairs"))
 
 
 def scanned_pages(spark, sf_dir: str) -> DataFrame:

@@ -24,11 +24,43 @@ def test_readings_hold_all_single_confusions():
     vocabulary = {w: 10 for w in ["claim", "modern", "annex", "illegible", "schedule", "units", "water", "could", "lines"]}
     trie = O.Trie(vocabulary)
     for w in ["daim", "modem", "anncx", "i1legible", "schedulc", "iinits", "vvater", "coulcl", "llnes", "units"]:
-        assert {r for r, _, _ in trie.readings(w, 1)} == _brute(w, vocabulary, 1)
+        assert {r for r, _, _ in trie.readings(w, 1, 0)} == _brute(w, vocabulary, 1)
     # two edits that touch different places
     assert "illegible" in {r for r, _, _ in trie.readings("il1egi6le")}
 
 
+def test_readings_hold_all_plain_edits():
+    vocabulary = {w: 10 for w in ["payment", "invoice", "receipt", "claim", "claims", "policyholder", "tenant", "tenants", "an", "and"]}
+    trie = O.Trie(vocabulary)
+    for w in ["paymnt", "paymemt", "invoise", "reciept", "paynent", "payrnent"]:
+        assert {r for r, _, _ in trie.readings(w)} == {"payment" if w[0] == "p" else "invoice" if w[0] == "i" else "receipt"}
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def once(w):
+        out = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters}
+        return out | {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in letters} | {w[: i - 1] + w[i] + w[i - 1] + w[i + 1 :] for i in range(1, len(w))}
+
+    for w in ["clam", "tenat", "tenants", "claims", "ad", "policyhodler", "polycholder", "xolicyholdr"]:
+        near = once(w)
+        if len(w) >= O.LONG:
+            near |= {y for x in near for y in once(x)}
+        want = {v for v in vocabulary if v in near and v != w}
+        got = {r for r, _, _ in trie.readings(w)}
+        assert want <= got and got - want <= _brute(w, vocabulary, 2) | {v for x in O.variants(w, 1) for v in once(x) if v in vocabulary}
+        # frequent words alone, by the same search
+        assert {r for r, _, _ in trie.readings(w, least_plain=11)} == {r for r, _, c in trie.readings(w) if c < O.PLAIN}
+
+
+def test_plain_edits_need_their_context(spark, monkeypatch):
+    texts = [("f", n, "The second payment of the day.") for n in range(250)] + [("g", 1, "A second paymnt came. Mr Paymeet called."), ("g", 2, "A second pamyent came")]
+    words = spark.createDataFrame([(t,) for _, _, t in texts] + [("the of a",)] * 200, "text string")
+    runs = []
+    for bound in (100_000, 1):
+        monkeypatch.setattr(O, "VOCABULARY", bound)
+        runs.append({tuple(r) for r in O.noise(words, _pages(spark, texts)).where("noise_kind = 'misread'").collect()})
+    assert runs[0] == runs[1] == {("t.text", i, "misread", 0, "payment") for i in (250, 251)}
+
+
 def test_numbers_and_identities():
     assert O.number_reading("120o") == "1200" and O.number_reading("4l") == "41" or O.number_reading("4l") == "41"
     assert O.number_reading("z60316856") is None and O.number_reading("12345678z") is None and O.number_reading("35d") is None
@@ -60,8 +92,8 @@ def test_rare_words_are_readings_in_a_large_corpus(spark, monkeypatch):
     texts = [("f", n, "The cinenegrix of napulitis.") for n in range(8)] + [("g", 1, "A cinencgrix of napu1itls."), ("g", 2, "Some vo1karen")]
     words = spark.createDataFrame([(t,) for _, _, t in texts] + [("the of a",)] * 200, "text string")
     runs = []
-    for share in (0.0, 0.05):
-        monkeypatch.setattr(O, "SHARE", share)
+    for bound in (100_000, 2):
+        monkeypatch.setattr(O, "VOCABULARY", bound)
         runs.append({tuple(r) for r in O.noise(words, _pages(spark, texts)).where("noise_kind = 'misread'").collect()})
     assert runs[0] == runs[1] and {r[-1] for r in runs[1]} == {"cinenegrix", "napulitis", "volkaren"}
 
