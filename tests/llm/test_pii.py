@@ -29,6 +29,37 @@ def test_addresses(text, want):
     assert [text[a:b] for a, b in P.addresses(text)] == ([want] if want else [])
 
 
+@pytest.mark.parametrize("text,want", [
+    ("at 12 Oak Avenue Springfield did not", "12 Oak Avenue Springfield"), ("at 12 Oak Avenue Springfield went away", "12 Oak Avenue Springfield"), ("12 Mill Street, York, YO1 7HH", "12 Mill Street, York, YO1 7HH"), ("wohnt Hauptstraße 5, 53111 Bonn", "Hauptstraße 5, 53111 Bonn"),
+    ("99 Oak Avenue, Reno, NV 89501", "99 Oak Avenue, Reno, NV 89501"), ("from 12345 Oak Avenue, Springfield, OH 45501 today", "12345 Oak Avenue, Springfield, OH 45501"), ("at 8 Oak Avenue, San Jose, CA 95112.", "8 Oak Avenue, San Jose, CA 95112"), ("in der Hauptstraße 5 Rechnung und", "Hauptstraße 5"),
+])
+def test_addresses_beyond_the_tables(text, want):
+    assert [text[a:b] for a, b in P.addresses(text)] == [want]
+
+
+def test_long_local_parts():
+    local = "a." * 300 + "b"
+    assert P.emails(f"to {local}@example.org now") == [(3, 3 + len(local) + 12)]
+
+
+def test_context_reveals_shapes_and_towns(spark):
+    rows = [("t", i, f"Please ring me on +49 30 {2300000 + i * 7919} today. Ticket code is {80000000 + i * 13}.") for i in range(40)]
+    rows += [("t", 100 + i, f"He lives at {i + 1} Oak Avenue, Springfield, OH 45501 now.") for i in range(10)]
+    rows += [("t", 200 + i, f"Please ring me on {4400000 + i} today.") for i in range(8)] + [("t", 300, "In der Hauptstraße 5 Springfield und sonst"), ("t", 301, "In der Hauptstraße 5 Rechnung und sonst")]
+    texts = {i: t for _, i, t in rows}
+    df = spark.createDataFrame(rows, "record_table string, record_id bigint, text string")
+    table = spark.createDataFrame([("Rob", "Robert")], "short_form string, given_name string")
+    runs = []
+    for share in (1e-9, 0.05):
+        got = {(r.record_id, r.pii_type, texts[r.record_id][r.start_char : r.end_char]) for r in P.find_spans(df, table, share=share).collect()}
+        runs.append(got)
+        phones = {i for i, k, _ in got if k == "phone"}
+        assert phones == set(range(40)) | set(range(200, 208))  # no ticket, and numbers of another shape in the same place
+        assert not any(k == "id_number" for _, k, _ in got)
+        assert {x for i, k, x in got if i >= 300} == {"Hauptstraße 5 Springfield", "Hauptstraße 5"}
+    assert runs[0] == runs[1]
+
+
 FAMILY = ["Gajucovek", "Hohakases", "Brefanukis", "Trebubihak", "Lodogowes", "Vocosehir"]
 
 
@@ -52,7 +83,7 @@ def test_rare_terms_count_in_a_large_corpus(spark):
     rows += [("t", 100, "We met Robert de Wekovilil there."), ("t", 101, "Ask de Wekovilil, Susan now."), ("t", 102, "Emergency contact is Quentin Gajucovek on Monday.")]
     df = spark.createDataFrame(rows + rows[-2:], "record_table string, record_id bigint, text string")
     table = spark.createDataFrame([("Rob", "Robert"), ("Sue", "Susan"), ("Tom", "Thomas"), ("Andy", "Andrew")], "short_form string, given_name string")
-    exact, floor = ({tuple(r) for r in P.find_spans(df, table, share=x).collect()} for x in (1e-9, 0.1))
+    exact, floor = ({tuple(r)[:5] for r in P.find_spans(df, table, share=x).collect()} for x in (1e-9, 0.1))
     assert floor == exact and ("t", 101, "person", 4, 23) in floor and any(r[1] == 102 for r in floor)
 
 
@@ -60,3 +91,6 @@ def test_sanitise():
     t = "Ask Anna Berg or a@b.de."
     assert P.sanitise(t, [("person", 4, 13), ("email", 17, 23)]) == "Ask [PERSON] or [EMAIL]."
     assert P.sanitise(None, []) is None
+    found = [("email", 17, 23), ("phone", 27, 43), ("address", 44, 69)]
+    t = "Ask Anna Berg or a@b.de on +49 30 23125957 5 Mill Street, YO1 7HH"
+    assert P.sanitise(t, [(k, a, min(b, len(t))) for k, a, b in found], frozenset({"email", "phone", "address"})) == "Ask Anna Berg or [EMAIL b.de] on [PHONE +49][ADDRESS YO1 7HH]"
