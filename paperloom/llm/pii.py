@@ -84,6 +84,7 @@ _FRENCH = re.compile(rf"(?<![\w.-]){_NUM}\s*,?\s+(?i:rue|r\.|avenue|av\.|bouleva
 _SPANISH = re.compile(rf"(?<!\w)(?i:calle|c/|cl\.|c\.|avenida|avda\.?|plaza|paseo|camino)\s*(?i:{_ROMANCE_ART})*{_W}(?:\s+{_W})?\s*,?\s*(?i:n[ºo°]\.?\s*)?{_NUM}\b")
 _GERMAN = re.compile(rf"(?<!\w)[A-ZÄÖÜ][\wäöüß]{{2,}}(?i:-?str(?:a(?:ß|ss|s)e|\.|)|-?stra?ß?s?e|weg|gasse|allee|platz)\s+{_NUM}\b")
 _GERMAN_ZIP = re.compile(rf"(?<!\w)[A-ZÄÖÜ][\wäöüß-]{{6,}}\.?\s+{_NUM}(?=(?:\s*[,;]\s*|\s+[-–]\s+|\s+)(?:(?i:etage|et\.|stock)\s+\d+(?:\s*[,;]\s*|\s+[-–]\s+|\s+))?\d{{5}}\s)")
+_ZIP_AHEAD = re.compile(r"[^\n]{1,40}?\d{5}\s|\s*\n\s*\d{5}\s")
 _SEP = r"(?:\s*[,;]\s*|\s+[-–]\s+|\s+)"
 _UNIT = r"(?:(?i:suite|ste|unit|unt|apt|floor|flr|fl|bureau|bur|[ée]tage|et|stock|planta|pl|piso|u)\.?\s*\d{1,3}\b|#\s?\d{1,3}\b)"
 _UK = r"[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}\b"
@@ -212,9 +213,11 @@ def cased_addresses(t: str, lowered: bool = False) -> list[Address]:
         if after in "rRaAbBpPqQcCiI" and (m := _FRENCH.match(t, a)):
             anchors.append((*m.span(), True))
         if (t[a - 1 : a].isspace() or t[a - 1 : a] in ",º°.") and _CAPITAL.search(t, max(0, a - 40), a):
-            lo = max(0, a - REACH)
-            anchors += [(m.start() + lo, m.end() + lo, p is _SPANISH) for p in (_SPANISH, _GERMAN) for m in p.finditer(t[lo:e]) if m.end() + lo == e]
-            anchors += [(*m.span(), False) for m in _GERMAN_ZIP.finditer(t, lo, e + 40) if m.end() == e]
+            lo = max(0, a - 60)
+            for p in (_SPANISH, _GERMAN):
+                anchors += [(m.start() + lo, m.end() + lo, p is _SPANISH) for m in p.finditer(t[lo:e]) if m.end() + lo == e]
+            if _ZIP_AHEAD.match(t, e):
+                anchors += [(*m.span(), False) for m in _GERMAN_ZIP.finditer(t, lo, e + 40) if m.end() == e]
     out: list[Address] = []
     for a, e, proper in sorted(anchors, key=lambda x: (x[0], -x[1])):
         if out and a < out[-1][1]:
@@ -244,8 +247,8 @@ def cased_addresses(t: str, lowered: bool = False) -> list[Address]:
                 town = m[0].strip(" \t\n,;-–")
             had.add(kind)
             e = m.end()
-        lo = max(0, a - REACH)
-        if m := _LEFT.search(t, lo, a):
+        lo = max(0, a - 70)
+        if m := _LEFT.search(t, lo, a) if t[a - 2 : a].strip(" \t") or t[a - 1 : a] == "\n" else None:
             part = t[m.start() : a]
             dup = re.search(r"\d{5}|" + _UK, part) and had & {"zip", "uk"}
             if not dup and not (m.start() > 0 and t[m.start() - 1].isalnum()):
@@ -372,7 +375,7 @@ def extract(records: DataFrame) -> DataFrame:
                 people = []
                 for s, e, a, z, inverted, behind, particle in forms(t, low):
                     f = z if inverted else t[s:e].rsplit(None, 1)[-1]
-                    m = None if inverted else re.search(rf"(?<!\w)(de|del|du)\s+{re.escape(f)}$", t[max(0, e - len(f) - 6) : e], re.I)
+                    m = None if inverted or " d" not in t[s:e].lower() and "\nd" not in t[s:e].lower() else re.search(rf"(?<!\w)(de|del|du)\s+{re.escape(f)}$", t[max(0, e - len(f) - 6) : e], re.I)
                     people.append((s, e, a, z, inverted, behind, particle, f"{m[1].lower()} {z}" if m else "", front(t, s), titled(t, s)))
                 if fixed or people:
                     some.append((rt, rid, fixed, people))
