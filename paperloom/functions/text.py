@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 
 import numpy as np
@@ -50,13 +49,18 @@ def bucket(token: str, dim: int = DIM) -> int:
     return _BUCKETS[token] % dim
 
 
+def embed_all(texts, dim: int = DIM) -> list[list[float] | None]:
+    """Deterministic stand-in for text embeddings: hashed counts of words, unit length; None without words."""
+    words = [[w for w in _WS.split((t or "").lower()) if w] for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    at = np.repeat(np.arange(len(words)), sizes) * dim + np.array([bucket(w, dim) for ws in words for w in ws], np.int64).reshape(-1)
+    m = np.bincount(at, minlength=len(words) * dim).reshape(len(words), dim).astype(float)
+    m /= np.sqrt(np.maximum((m * m).sum(axis=1, keepdims=True), 1.0))
+    return [x if n else None for x, n in zip(m.tolist(), sizes)]
+
+
 def embed_one(text: str | None, dim: int = DIM) -> list[float] | None:
-    """Deterministic stand-in for a text embedding: hashed counts of words, unit length; None without words."""
-    words = [w for w in _WS.split((text or "").lower()) if w]
-    if not words:
-        return None
-    v = np.bincount([bucket(w, dim) for w in words], minlength=dim).astype(float)
-    return (v / math.sqrt(float((v * v).sum()))).tolist()
+    return embed_all([text], dim)[0]
 
 
 def embed(c) -> Column:
@@ -64,7 +68,7 @@ def embed(c) -> Column:
 
     @F.pandas_udf("array<double>")
     def run(text: pd.Series) -> pd.Series:
-        return text.map(embed_one)
+        return pd.Series(embed_all(text), dtype=object)
 
     return run(c)
 

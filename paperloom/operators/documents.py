@@ -125,16 +125,6 @@ def layout_features(boxes: DataFrame, key: str) -> DataFrame:
         (F.max(F.col("left") + F.col("width")) - F.min("left")).alias("x_extent"), (F.max(F.col("top") + F.col("height")) - F.min("top")).alias("y_extent"))
 
 
-def layout_class(f: DataFrame) -> DataFrame:
-    """Adds layout and confidence by the ordered rules."""
-    c = F.col
-    form = (c("colon_ratio") > 0.18) & (c("colons") >= 3) | (c("colon_ratio") > 0.25) & (c("n") >= 8)
-    h = F.coalesce(c("height_std") / (c("mean_height") + 1e-9), F.lit(0.0))
-    layout = F.when(c("n") < 5, "SINGLE_COLUMN").when(form, "FORM").when((h < 0.20) & (c("num_ratio") > 0.08), "TABLE_HEAVY").when((c("n") > 20) & (c("num_ratio") < 0.06) & (c("colon_ratio") < 0.06), "SINGLE_COLUMN").otherwise("MIXED")
-    conf = F.when(c("n") < 5, 0.5).when(form, F.least(0.65 + 1.2 * c("colon_ratio"), F.lit(0.95))).when((h < 0.20) & (c("num_ratio") > 0.08), 0.88).when((c("n") > 20) & (c("num_ratio") < 0.06) & (c("colon_ratio") < 0.06), 0.80).otherwise(0.5)
-    return f.withColumn("layout", layout).withColumn("confidence", F.round(conf, 4))
-
-
 def dbscan_1d(points: DataFrame, key: str, x: str, eps: float, least: int) -> DataFrame:
     """(key, x, n, cluster) for distinct coordinates with their counts: density clusters on a line, noise is -1.
 
@@ -287,3 +277,18 @@ def identity_fields(df: DataFrame, key: str, body: str) -> DataFrame:
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two perceptual hashes given as arrays of 64-bit words."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+# ---- columns of a page
+def column_sides(words: DataFrame, key: str, mid: float = 0.5, least: int = 3) -> DataFrame:
+    """Words with `side`: 1 right of the middle if at least `least` words of the page are, else 0."""
+    right = (F.col("left") + F.col("width") / 2 > mid).cast("int")
+    n = words.groupBy(key).agg(F.sum(right).alias("_right"))
+    return words.join(n, key).withColumn("side", F.when(F.col("_right") >= least, right).otherwise(0)).drop("_right")
+
+
+def column_text(words: DataFrame, key: str, mid: float = 0.5, least: int = 3) -> DataFrame:
+    """(key, text): lines of the left column, then those of the right one."""
+    s = column_sides(words, key, mid, least).withColumn("_page", F.struct(key, "side"))
+    lines = reading_lines(s, "_page").select(F.col(f"_page.{key}").alias(key), F.col("_page.side").alias("side"), "line_no", "text")
+    return lines.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("side", "line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))

@@ -1,9 +1,9 @@
-"""Exact vector search in blocks, BM25 over candidates, reciprocal-rank fusion, federation and caching.
+"""Exact vector search, BM25 over candidates, reciprocal-rank fusion, federation and caching.
 
-A stated set of queries is compared with all rows. Both sides are cut into blocks of bounded size; every
-data block meets every query block through an equi-join on the query block's number, a task multiplies two
-matrices and keeps the best k per query, and the partial results are merged by rank. Nothing is collected
-and no block grows with the data.
+A stated set of queries is compared with all rows. The rows stay where they lie: each task runs over its part of the scan
+and keeps the best k of every query, and the partial results are merged by rank, so what is shuffled is k rows a query and
+task, whatever the number of rows. The queries are written once and sent to the tasks in blocks of at most BLOCK_MB,
+which bounds the broadcast; each block is one pass over the rows.
 """
 
 from __future__ import annotations
@@ -16,52 +16,97 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import tokens
+from paperloom.session import cut, spread
 
-ROWS, QUERIES = 8192, 1024
+#: Size of one block of queries, and how many are multiplied with a batch at once.
+BLOCK_MB, QUERIES = 64, 1024
 
 
-def _blocks(df: DataFrame, rows: int, cols: list[str]) -> tuple[DataFrame, int]:
-    n = df.select(cols[0]).count()  # vectors are not computed for the count
-    blocks = max(1, -(-n // rows))
-    b = F.pmod(F.xxhash64(cols[0]), F.lit(blocks)).cast("int")
-    return df.where(F.col("vec").isNotNull()).groupBy(b.alias("block")).agg(F.collect_list(F.struct(*cols)).alias("rows")), blocks
+def _query_blocks(queries: DataFrame, cols: list[str]) -> list[pd.DataFrame | DataFrame]:
+    """Blocks of the queries with a vector, each at most BLOCK_MB."""
+    q = cut(queries.select(*cols).where(F.col("vec").isNotNull()))
+    size = q.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    blocks = -(-(size["n"] * ((size["dim"] or 0) + 4) * 8) // (BLOCK_MB << 20))
+    b = F.pmod(F.xxhash64("id"), F.lit(max(1, blocks)))
+    return [q.where(b == i) for i in range(blocks)]
+
+
+def _matrix(vectors) -> np.ndarray:
+    """Rows of unit length; a vector of zeros stays one."""
+    m = np.array(vectors.tolist(), float)
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(n == 0, 1.0, n)
+
+
+def _scan(queries: DataFrame, data: DataFrame, cols: list[str], kernel: Callable, schema: str) -> DataFrame:
+    """Rows of `kernel(queries, its vectors, batches)` over each part of the data, for each block of queries."""
+    spark = data.sparkSession
+    data = spread(data.select(*cols).where(F.col("vec").isNotNull()))
+    out = spark.createDataFrame([], schema)
+    for block in _query_blocks(queries, cols):
+        shared = spark.sparkContext.broadcast(block.toPandas())  # at most BLOCK_MB
+
+        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            q = shared.value
+            return kernel(q, _matrix(q["vec"]), frames) if len(q) else iter(())
+
+        out = out.unionByName(data.mapInPandas(run, schema))
+    return out
 
 
 def top_k(queries: DataFrame, data: DataFrame, k: int, same: bool = False, exclude_self: bool = True) -> DataFrame:
-    """(query_id, id, score, rank) of the k nearest rows by dot product; ties go to the smaller id.
+    """(query_id, [tag,] id, score, rank) of the k nearest rows by cosine; ties go to the smaller id.
 
     `queries` and `data` have (id, vec) and, with `same`, a column `tag` that must be equal (a filter
-    before ranking, as for tenants; null matches nothing). Rows without a vector take no part.
+    before ranking, as for tenants; null matches nothing); a query may stand under several tags and is ranked under
+    each. Rows without a vector take no part.
     """
     tag = ["tag"] if same else []
-    q, n_q = _blocks(queries.select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec"), *tag), QUERIES, ["id", "vec", *tag])
-    d, _ = _blocks(data.select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec"), *tag), ROWS, ["id", "vec", *tag])
-    pairs = d.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).withColumnRenamed("rows", "d").join(q.select(F.col("block").alias("qb"), F.col("rows").alias("q")), "qb")
+    cols = ["id", "vec", *tag]
+    cast = lambda df: df.select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec"), *tag)
+
+    def kernel(q: pd.DataFrame, qv: np.ndarray, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qi = q["id"].to_numpy(np.int64)
+        qt = q["tag"].to_numpy(object) if same else None
+        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query row, id, score
+        held = 0
+
+        def reduce() -> None:
+            nonlocal best, held
+            r, i, s = (np.concatenate(x) for x in zip(*best))
+            order = np.lexsort((i, -s, r))
+            r, i, s = r[order], i[order], s[order]
+            first = np.searchsorted(r, r, side="left")
+            keep = np.arange(len(r)) - first < k
+            best = [(r[keep], i[keep], s[keep])]
+            held = int(keep.sum())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for ds, qs in zip(pdf["d"], pdf["q"]):
-                di = np.array([x["id"] for x in ds], np.int64)
-                order = np.argsort(di)
-                di = di[order]
-                dv = np.array([x["vec"] for x in ds], float)[order]
-                qi = np.array([x["id"] for x in qs], np.int64)
-                s = np.array([x["vec"] for x in qs], float) @ dv.T
-                # equal to 9 digits is a tie, whatever the order of the sums
-                s = np.round(s, 9)
+            di = pdf["id"].to_numpy(np.int64)
+            dv = _matrix(pdf["vec"])
+            dt = pdf["tag"].to_numpy(object) if same else None
+            for at in range(0, len(q), QUERIES):
+                part = slice(at, at + QUERIES)
+                s = np.round(qv[part] @ dv.T, 9)  # equal to 9 digits is a tie, whatever the order of the sums
                 if exclude_self:
-                    s[qi[:, None] == di[None, :]] = -np.inf
+                    s[qi[part, None] == di[None, :]] = -np.inf
                 if same:
-                    dt, qt = np.array([x["tag"] for x in ds], object)[order], np.array([x["tag"] for x in qs], object)
-                    s[(qt[:, None] != dt[None, :]) | np.array([t is None for t in qt])[:, None]] = -np.inf
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                r = np.repeat(np.arange(len(qi)), best.shape[1])
-                c = best.ravel()
-                keep = np.isfinite(s[r, c])
-                yield pd.DataFrame({"query_id": qi[r][keep], "id": di[c][keep], "score": s[r, c][keep]})
-
-    part = pairs.select("d", "q").mapInPandas(run, "query_id bigint, id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+                    s[(qt[part, None] != dt[None, :]) | np.array([t is None for t in qt[part]])[:, None]] = -np.inf
+                n = min(k, s.shape[1])
+                least = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+                r, c = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+                best.append((r + at, di[c], s[r, c]))
+                held += len(r)
+            if held > 4 * k * len(q) + 100_000:
+                reduce()
+        if best:
+            reduce()
+            r, i, s = best[0]
+            out = {"query_id": qi[r], "id": i, "score": s}
+            yield pd.DataFrame(out | {"tag": qt[r]} if same else out)
+
+    part = _scan(cast(queries), cast(data), cols, kernel, "query_id bigint, id bigint, score double" + (", tag string" if same else ""))
+    rank = F.row_number().over(Window.partitionBy("query_id", *tag).orderBy(F.desc("score"), "id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -70,26 +115,41 @@ def first_hit(queries: DataFrame, data: DataFrame, threshold: float) -> DataFram
 
     Both sides have (id, vec, seq).
     """
-    cols = ["id", "vec", "seq"]
-    q, n_q = _blocks(queries.select(*cols), QUERIES, cols)
-    d, _ = _blocks(data.select(*cols), ROWS, cols)
-    pairs = d.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).withColumnRenamed("rows", "d").join(q.select(F.col("block").alias("qb"), F.col("rows").alias("q")), "qb")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def kernel(q: pd.DataFrame, qv: np.ndarray, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qs = q["seq"].to_numpy(np.int64)
+        none = np.iinfo(np.int64).max
+        seq, hit = np.full(len(q), none), np.zeros(len(q), np.int64)
         for pdf in frames:
-            for ds, qs in zip(pdf["d"], pdf["q"]):
-                ds = sorted(ds, key=lambda x: x["seq"])
-                seq = np.array([x["seq"] for x in ds], np.int64)
-                hit = np.round(np.array([x["vec"] for x in qs], float) @ np.array([x["vec"] for x in ds], float).T, 9) >= threshold
-                hit &= seq[None, :] < np.array([x["seq"] for x in qs], np.int64)[:, None]
-                any_ = hit.any(axis=1)
-                at = hit.argmax(axis=1)
-                yield pd.DataFrame({"query_id": [qs[i]["id"] for i in np.flatnonzero(any_)], "seq": [int(seq[at[i]]) for i in np.flatnonzero(any_)], "hit_id": [ds[at[i]]["id"] for i in np.flatnonzero(any_)]})
-
-    part = pairs.select("d", "q").mapInPandas(run, "query_id bigint, seq bigint, hit_id bigint")
+            pdf = pdf.sort_values("seq")
+            ds, di, dv = pdf["seq"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64), _matrix(pdf["vec"])
+            for at in range(0, len(q), QUERIES):
+                part = slice(at, at + QUERIES)
+                ok = (np.round(qv[part] @ dv.T, 9) >= threshold) & (ds[None, :] < qs[part, None])
+                j = ok.argmax(axis=1)
+                r = np.flatnonzero(ok.any(axis=1) & (ds[j] < seq[part]))
+                seq[at + r], hit[at + r] = ds[j[r]], di[j[r]]
+        got = seq < none
+        yield pd.DataFrame({"query_id": q["id"].to_numpy(np.int64)[got], "seq": seq[got], "hit_id": hit[got]})
+
+    part = _scan(queries, data, ["id", "vec", "seq"], kernel, "query_id bigint, seq bigint, hit_id bigint")
     return part.groupBy("query_id").agg(F.min_by("hit_id", "seq").alias("hit_id"))
 
 
+def cached(queries: DataFrame, entries: DataFrame, threshold: float, search: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Semantic cache: (answers, entries to append) for queries and entries (id, vec, seq, answer).
+
+    A query takes the answer of the earliest entry of lower seq that is close enough; misses are run by `search`, which gives
+    (id, answer), and come back as entries of their own seq. Queries of one call do not see each other's misses.
+    """
+    queries = cut(queries)
+    hits = cut(first_hit(queries, entries, threshold))
+    found = hits.join(entries.select(F.col("id").alias("hit_id"), "answer"), "hit_id").select(F.col("query_id").alias("id"), "answer", F.lit(True).alias("cache_hit"))
+    misses = queries.join(hits.select(F.col("query_id").alias("id")), "id", "left_anti")
+    run = cut(search(misses).select("id", "answer"))
+    return found.unionByName(run.withColumn("cache_hit", F.lit(False))), misses.select("id", "vec", "seq").join(run, "id")
+
+
 def bm25(candidates: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """(query_id, id, bm25) for candidates (query_id, query, id, text): each query's corpus is its candidates.
 

@@ -194,11 +194,6 @@ def layout_features(spark, d):
     return f.select("page_id", "n", r("colon_ratio"), r("num_ratio"), r("left_std"), r("mean_width"), r("mean_height"), "rows", r("x_extent"), r("y_extent"))
 
 
-@q("layout_rules", f"SELECT page_id, CASE WHEN n<5 THEN 'SINGLE_COLUMN' WHEN colon_ratio>0.18 AND colons>=3 OR colon_ratio>0.25 AND n>=8 THEN 'FORM' WHEN coalesce(height_std/(mean_height+1e-9),0)<0.20 AND num_ratio>0.08 THEN 'TABLE_HEAVY' WHEN n>20 AND num_ratio<0.06 AND colon_ratio<0.06 THEN 'SINGLE_COLUMN' ELSE 'MIXED' END AS layout FROM ({FEAT})")
-def layout_rules(spark, d):
-    return doc.layout_class(doc.layout_features(boxes(spark, d), "page_id")).select("page_id", "layout")
-
-
 @q("dbscan_columns", f"""WITH p AS (SELECT page_id, round(l,3) AS x, count(*) AS n FROM {TB} GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY page_id ORDER BY x RANGE BETWEEN 0.0021 PRECEDING AND 0.0021 FOLLOWING)>=4 AS core FROM p),
  s AS (SELECT *, last_value(CASE WHEN core THEN x END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lc FROM c), k AS (SELECT *, sum(CASE WHEN core AND (lc IS NULL OR x-lc>0.0021) THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY x)-1 AS cl FROM s),
  e AS (SELECT k.page_id, k.x, k.n, k.core, k.cl, (SELECT arg_min(j.cl, abs(j.x-k.x)*1e6+CASE WHEN j.x>k.x THEN 1e-3 ELSE 0 END) FROM k j WHERE j.page_id=k.page_id AND j.core AND abs(j.x-k.x)<=0.0021) AS near FROM k)
@@ -225,28 +220,3 @@ def split_segments(spark, d):
 @q("merge_short_segments", SEG + ", k AS (SELECT *, sum(CASE WHEN pages>=2 OR rn=1 THEN 1 ELSE 0 END) OVER (PARTITION BY file_name ORDER BY seg) AS grp FROM (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY seg) AS rn FROM g)) SELECT file_name, row_number() OVER (PARTITION BY file_name ORDER BY grp)-1 AS segment, min(page_start) AS page_start, max(page_end) AS page_end, sum(pages) AS pages, bool_and(blank) AS blank FROM k GROUP BY file_name, grp")
 def merge_short_segments(spark, d):
     return _split(spark, d, 2)
-
-
-@q("layout_forest")
-def layout_forest(spark, d):
-    """Random forest on jittered prototypes of the layouts, applied to every page; rule and forest are blended."""
-    import numpy as np
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    # prototypes: colon ratio, share of numbers, spread of left edges, mean width
-    protos = {"SINGLE_COLUMN": (0.02, 0.03, 0.02, 0.75), "MULTI_COLUMN": (0.02, 0.03, 0.25, 0.35), "TABLE_HEAVY": (0.03, 0.35, 0.22, 0.15), "FORM": (0.35, 0.10, 0.18, 0.25), "MIXED": (0.10, 0.12, 0.12, 0.45)}
-    names = list(protos)
-    rng = np.random.default_rng(42)
-    cols = ["colon_ratio", "num_ratio", "left_std", "mean_width"]
-    train = spark.createDataFrame([(float(i), *[float(x) for x in np.clip(rng.normal(protos[k], 0.04), 0, 1)]) for i, k in enumerate(names) for _ in range(40)], ["label", *cols])
-    f = doc.layout_class(doc.layout_features(boxes(spark, d), "page_id")).fillna(0.0, cols)
-    asm = VectorAssembler(inputCols=cols, outputCol="features")
-    model = RandomForestClassifier(numTrees=120, maxDepth=8, minInstancesPerNode=3, seed=42).fit(asm.transform(train))
-    from pyspark.ml.functions import vector_to_array
-
-    p = model.transform(asm.transform(f)).withColumn("p", F.array_max(vector_to_array("probability"))).withColumn("forest", F.element_at(F.array(*[F.lit(k) for k in names]), F.col("prediction").cast("int") + 1))
-    rule = (F.col("confidence") >= 0.80) | (F.col("n") < 5)
-    layout = F.when(rule, F.col("layout")).otherwise(F.col("forest"))
-    conf = F.when(rule, F.col("confidence")).when(F.col("layout") == F.col("forest"), F.least((F.col("p") + F.col("confidence")) / 2 + 0.05, F.lit(0.97))).otherwise(F.col("p") * 0.90)
-    return p.select("page_id", layout.alias("layout"), F.round(conf, 4).alias("confidence"))

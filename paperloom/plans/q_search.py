@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import embed, parse_score, strip, tokens, uuid_of
-from paperloom.operators import chunking, search
+from paperloom.operators import chunking, rules, search
 from paperloom.session import cut, table
 
 Q: dict[str, tuple] = {}
@@ -118,7 +118,7 @@ def id_collisions(spark, d):
 
 
 # ---- search on stored vectors: queries are the rows whose id is divisible by 100
-DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+DOT = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
 def vectors(spark, d) -> DataFrame:
@@ -156,11 +156,10 @@ def dense_topk_tenant(spark, d):
 
 @q("federated_topk", f"SELECT query_id, id, rank, round(s,5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s,9) DESC, id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {DOT} AS s, row_number() OVER (PARTITION BY a.vec_id, b.label ORDER BY round({DOT},9) DESC, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id<>b.vec_id WHERE a.vec_id%100=0) WHERE r<=5) WHERE rank<=5")
 def federated_topk(spark, d):
-    v = vectors(spark, d)
-    labels = F.sequence(F.lit(0), F.lit(int(v.agg(F.max("label")).first()[0] or 0)))  # one collection per label
-    tagged = asked(v).withColumn("tag", F.explode(labels)).withColumn("tag", F.col("tag").cast("string"))
-    per = search.top_k(tagged.withColumn("id", F.col("id") * 100000 + F.col("tag").cast("bigint")), v.withColumn("tag", F.col("label").cast("string")), 6, same=True, exclude_self=False)
-    per = per.select((F.col("query_id") / 100000).cast("bigint").alias("query_id"), (F.col("query_id") % 100000).alias("collection"), "id", "score").where("query_id <> id")
+    v = vectors(spark, d).withColumn("tag", F.col("label").cast("string"))
+    labels = [r.tag for r in v.where("tag is not null").select("tag").distinct().collect()]  # one collection per label, a handful
+    tagged = asked(v).withColumn("tag", F.explode(F.lit(labels).cast("array<string>")))
+    per = search.top_k(tagged, v, 5, same=True).withColumnRenamed("tag", "collection")
     return out(search.federated(lambda: per, 5))
 
 
@@ -172,7 +171,9 @@ def semantic_cache(spark, d):
 
 
 # ---- search on texts
-CH = f"ch AS (SELECT doc_id*10000+chunk_index AS id, doc_id, chunk AS t FROM ({FIXED}))"
+#: A text has fewer chunks than this: a Spark string holds under 2^31 characters, a chunk starts every 450.
+CHUNKS = 1 << 23
+CH = f"ch AS (SELECT doc_id*{CHUNKS}+chunk_index AS id, doc_id, chunk AS t FROM ({FIXED}))"
 QS = "qs AS (SELECT DISTINCT query_id AS id, query AS t, answer FROM query_log WHERE query_id%100=0 AND query IS NOT NULL)"
 SCORES = f"ce AS ({EMB.format(src='ch')}), qe AS ({EMB.format(src='qs')}), sc AS (SELECT qe.id AS query_id, ce.id, round(sum(qe.v*ce.v),9) AS score FROM qe JOIN ce USING (b) GROUP BY ALL)"
 CAND = f"{CH}, {QS}, {SCORES}, cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank<=15)"
@@ -185,8 +186,10 @@ BM = """tk AS (SELECT query_id, id, unnest(string_split_regex(lower(ch.t),'\\s+'
  bmr AS (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s,9) DESC, id) AS r FROM bm)"""
 
 
-def chunks(spark, d) -> DataFrame:
-    return chunking.fixed(docs(spark, d), "doc_id").select((F.col("doc_id") * 10000 + F.col("chunk_index")).alias("id"), "doc_id", F.col("chunk").alias("text"))
+def chunks(spark, d, of: DataFrame | None = None) -> DataFrame:
+    """(id, doc_id, text) of all chunks, or of the documents `of` (doc_id)."""
+    t = docs(spark, d) if of is None else docs(spark, d).join(of, "doc_id", "left_semi")
+    return chunking.fixed(t, "doc_id").select((F.col("doc_id") * CHUNKS + F.col("chunk_index")).alias("id"), "doc_id", F.col("chunk").alias("text"))
 
 
 def questions(spark, d) -> DataFrame:
@@ -200,13 +203,13 @@ def candidates(spark, d, k: int = 15, qs: DataFrame | None = None) -> DataFrame:
 
 
 def with_texts(spark, d, cand: DataFrame) -> DataFrame:
-    """Candidates with chunk and question texts; the candidates are few, so the chunks are the side that is read."""
-    c = chunks(spark, d).withColumnRenamed("text", "chunk")
+    """Candidates with chunk and question texts; only the documents of candidates are chunked again."""
+    cand = cut(cand)
+    c = chunks(spark, d, cand.select(F.expr(f"id div {CHUNKS}").alias("doc_id")).distinct()).withColumnRenamed("text", "chunk")
     return cand.join(c, "id").join(questions(spark, d).select(F.col("id").alias("query_id"), F.col("text").alias("query"), "answer"), "query_id")
 
 
-INJECT = "(?i)(ignore previous|system update|admin mode|you are now|disregard prior|act as|jailbreak|DAN mode)"
-PII = r"\b(\d{3}-\d{2}-\d{4}|\d{16}|\d{4}[\s-]\d{4}[\s-]\d{4}[\s-]\d{4}|[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})\b"
+INJECT, PII = f"(?i){rules.INJECTION}", rules.PII
 
 
 @q("search_screened", f"WITH {CAND} SELECT query_id, rank, cand.id AS chunk_id, doc_id, round(score,5) AS score, regexp_matches(t,'{PII}') AS has_pii FROM cand JOIN ch USING (id) WHERE rank<=5 AND NOT regexp_matches(t,'{INJECT}')")
@@ -217,7 +220,7 @@ def search_screened(spark, d):
 
 @q("multi_doc_sources", f"WITH {CAND} SELECT query_id, coalesce(source,'unknown') AS source, count(*) AS chunks, min(rank) AS best_rank FROM cand JOIN ch USING (id) JOIN documents USING (doc_id) WHERE rank<=10 GROUP BY ALL")
 def multi_doc_sources(spark, d):
-    c = candidates(spark, d, 10).withColumn("doc_id", (F.col("id") / 10000).cast("bigint"))
+    c = candidates(spark, d, 10).withColumn("doc_id", F.expr(f"id div {CHUNKS}"))
     s = c.join(docs(spark, d).select("doc_id", F.coalesce("source", F.lit("unknown")).alias("source")), "doc_id")
     return s.groupBy("query_id", "source").agg(F.count("*").alias("chunks"), F.min("rank").alias("best_rank"))
 
@@ -257,7 +260,7 @@ def fusion_rrf(spark, d):
     v = questions(spark, d).select("id", F.posexplode(F.array(F.col("text"), F.array_join(F.slice(w, F.lit(1), half), " "), F.array_join(F.slice(w, half + 1, F.size(w)), " "))).alias("v", "t"))
     v = v.where("t <> ''").select((F.col("id") * 10 + F.col("v")).alias("id"), F.col("t").alias("text"))
     c = candidates(spark, d, 5, v)
-    lists = c.select((F.col("query_id") / 10).cast("bigint").alias("query_id"), (F.col("query_id") % 10).cast("int").alias("list_no"), "id", "rank")
+    lists = c.select(F.expr("query_id div 10").alias("query_id"), (F.col("query_id") % 10).cast("int").alias("list_no"), "id", "rank")
     return search.rrf(lists, 5).select("query_id", "id", "rank", F.round("rrf", 6).alias("rrf"))
 
 
@@ -273,10 +276,13 @@ def hyde_topk(spark, d):
 
 @q("ensemble_rrf", f"WITH {CAND}, {BM}, {HY}, " + _fuse_sql("SELECT query_id, id, rank AS r, 0 AS l FROM cand WHERE rank<=5 UNION ALL SELECT query_id, id, r, 1 FROM bmr WHERE r<=5 UNION ALL SELECT query_id, id, r, 2 FROM hr WHERE r<=5", 5))
 def ensemble_rrf(spark, d):
-    c = cut(candidates(spark, d))
-    h = questions(spark, d).select("id", F.coalesce("answer", "text").alias("text"))
+    """Questions and hypotheses are searched in one pass over the chunks, as queries of even and odd number."""
+    qs = questions(spark, d)
+    both = qs.select((F.col("id") * 2).alias("id"), "text").unionByName(qs.select((F.col("id") * 2 + 1).alias("id"), F.coalesce("answer", "text").alias("text")))
+    found = cut(candidates(spark, d, 15, both)).select(F.expr("query_id div 2").alias("query_id"), (F.col("query_id") % 2).alias("kind"), "id", "score", "rank")
+    c = found.where("kind = 0").drop("kind")
     lists = c.where("rank <= 5").select("query_id", F.lit(0).alias("list_no"), "id", "rank")
-    lists = lists.unionByName(search.ranked(_bm25(spark, d, c), "bm25", 1, 5)).unionByName(candidates(spark, d, 5, h).select("query_id", F.lit(2).alias("list_no"), "id", "rank"))
+    lists = lists.unionByName(search.ranked(_bm25(spark, d, c), "bm25", 1, 5)).unionByName(found.where("kind = 1 and rank <= 5").select("query_id", F.lit(2).alias("list_no"), "id", "rank"))
     return search.rrf(lists, 5).select("query_id", "id", "rank", F.round("rrf", 6).alias("rrf"))
 
 
