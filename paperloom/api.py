@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import embed, uuid_of
-from paperloom.operators import chunking, incremental, rules, search
+from paperloom.operators import chunking, documents, incremental, rules, search
 
 MARKS = {"faithfulness": 0.80, "relevancy": 0.75, "precision": 0.70, "recall": 0.70}
 
@@ -58,3 +58,35 @@ def evaluate(runs: DataFrame) -> DataFrame:
 
 def collection_stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("collection").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents"), F.sum(F.length("text")).alias("chars"))
+
+
+def compare(runs: DataFrame) -> DataFrame:
+    """(spec_a, spec_b, f_a, f_b, winner) of runs (spec, faithfulness): mean faithfulness of each pair of specifications, one row a specification before the join."""
+    s = runs.groupBy("spec").agg(F.avg(F.coalesce("faithfulness", F.lit(0.5))).alias("f"))
+    a, b = s.select(F.col("spec").alias("spec_a"), F.col("f").alias("f_a")), s.select(F.col("spec").alias("spec_b"), F.col("f").alias("f_b"))
+    return a.join(b, F.col("spec_a") < F.col("spec_b")).withColumn("winner", F.when(F.round("f_a", 9) >= F.round("f_b", 9), F.col("spec_a")).otherwise(F.col("spec_b")))
+
+
+def process(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc_class, class_confidence, field_type, value, error) of docs (doc_id, text[, file_name]): class and fields of each; a text that is null is an error, not a failure."""
+    d = docs if "file_name" in docs.columns else docs.withColumn("file_name", F.lit(None).cast("string"))
+    c = rules.classify_named(d.select("doc_id", "text", "file_name"), "text", "file_name").select("doc_id", "doc_class", "class_confidence", F.when(F.col("text").isNull(), "no text").alias("error"))
+    return c.join(documents.invoice_fields(docs, "doc_id"), "doc_id", "left").select("doc_id", "doc_class", "class_confidence", "field_type", "value", "error")
+
+
+def batch_totals(processed: DataFrame) -> DataFrame:
+    """(documents, failed, fields) of the rows of `process`."""
+    one = processed.groupBy("doc_id").agg(F.max("error").alias("error"), F.count("value").alias("fields"))
+    return one.agg(F.count("*").alias("documents"), F.count("error").alias("failed"), F.coalesce(F.sum("fields"), F.lit(0)).alias("fields"))
+
+
+def index_stats(index: DataFrame, chunks: DataFrame) -> DataFrame:
+    return incremental.index_stats(index, chunks)
+
+
+def reset_index(index: DataFrame, collection: str) -> DataFrame:
+    return incremental.reset(index, collection)
+
+
+def validate(records: DataFrame, key: str, fields: str, doc_type: str, confidence: str | None = None) -> DataFrame:
+    return rules.validate(records, key, fields, doc_type, confidence)

@@ -292,3 +292,122 @@ def column_text(words: DataFrame, key: str, mid: float = 0.5, least: int = 3) ->
     s = column_sides(words, key, mid, least).withColumn("_page", F.struct(key, "side"))
     lines = reading_lines(s, "_page").select(F.col(f"_page.{key}").alias(key), F.col("_page.side").alias("side"), "line_no", "text")
     return lines.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("side", "line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+
+
+# ---- forms from lines, responses as one text
+# Labels of fields, by which a line without a colon is a form field.
+LABELS = r"(?i)(invoice\s*(no|num|#|date|number)|date|due\s*date|payment\s*terms|vendor|supplier|bill\s*to|ship\s*to|po\s*(number|#)|purchase\s*order|subtotal|sub\s*total|total\s*(due|amount)?|tax|vat|gst|hst|patient\s*(name|id)?|provider|diagnosis|medication|prescription|name|address|phone|email|fax|account\s*(no|number)?|expir(y|ation)|issue\s*date|nationality|country|city|state|zip)"
+LABEL_SPLIT = r"^([\w\s\-/().]{2,40}?)\s*[:–\-]\s*(.*)$"
+# Form keys that stand for expense types which no field gave.
+SUPPLEMENTS = {"VENDOR": "VENDOR_NAME", "TOTAL DUE": "TOTAL", "INVOICE DATE": "INVOICE_RECEIPT_DATE", "DUE DATE": "DUE_DATE", "PO NUMBER": "PO_NUMBER", "TAX": "TAX", "SUBTOTAL": "SUBTOTAL"}
+
+
+def form_lines(words: DataFrame, lines: DataFrame, key: str, aggressive: bool = False) -> DataFrame:
+    """(key, k, v): form fields of a page, the first value of each key (in any case) winning, in reading order.
+
+    `lines` (key, line_no, text) are the lines of `words` (key, line_no, word, left, width). A line gives a field by its
+    colon or dash if the key is a known label or short; else by its halves, words left and right of its middle, if the left one
+    is a known label. With `aggressive` (pages that look like forms) keys may be longer, and a short label without a value
+    takes the next line. Empty values give none.
+    """
+    limit = 40 if aggressive else 30
+    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    k, v = F.regexp_extract(text, LABEL_SPLIT, 1), F.regexp_extract(text, LABEL_SPLIT, 2)
+    label = lambda c: c.rlike(LABELS)
+    k = F.regexp_replace(k, r"^\s+|\s+$", "")
+    by_sign = text.rlike(LABEL_SPLIT) & (label(k) | (F.length(k) <= limit))
+    middle = words.groupBy(key, "line_no").agg(((F.min("left") + F.max(F.col("left") + F.col("width"))) / 2).alias("mid"), F.count("*").alias("n_words"))
+    halves = words.join(middle, [key, "line_no"]).withColumn("right", F.col("left") + F.col("width") / 2 >= F.col("mid"))
+    side = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("left", "word")))), lambda x: x["word"]), " ")
+    halves = halves.groupBy(key, "line_no", "n_words").agg(side(~F.col("right")).alias("lk"), side(F.col("right")).alias("rv"))
+    nxt = lines.select(key, (F.col("line_no") - 1).alias("line_no"), F.regexp_replace("text", r"^\s+|\s+$", "").alias("next"))
+    j = lines.join(halves, [key, "line_no"], "left").join(nxt, [key, "line_no"], "left")
+    lk = F.regexp_replace("lk", r":+\s*$", "")
+    by_half = ~by_sign & (F.col("n_words") >= 2) & (F.col("lk") != "") & (F.col("rv") != "") & label(lk)
+    alone = F.regexp_replace(text, r":+$", "")
+    by_next = F.lit(aggressive) & ~by_sign & (F.coalesce("n_words", F.lit(1)) <= 5) & (F.coalesce("next", F.lit("")) != "") & (label(alone) | text.endswith(":"))
+    one = lambda c, no, a, b: F.when(c, F.struct(F.lit(no).alias("rule"), a.alias("k"), b.alias("v")))
+    found = j.select(key, "line_no", F.explode(F.array_compact(F.array(one(by_sign, 1, k, F.regexp_replace(v, r"^\s+|\s+$", "")), one(by_half, 2, lk, F.col("rv")), one(by_next, 3, alone, F.col("next"))))).alias("f"))
+    found = found.where((F.col("f.v") != "") & (F.col("f.k") != ""))
+    first = F.struct("line_no", F.col("f.rule"))
+    return found.groupBy(key, F.lower("f.k").alias("lk")).agg(F.min_by("f.k", first).alias("k"), F.min_by("f.v", first).alias("v")).select(key, "k", "v")
+
+
+def supplement(fields: DataFrame, forms: DataFrame, key: str) -> DataFrame:
+    """Expense fields (key, field_type, label, value, confidence) with those that only the forms (key, k, v) give, at 0.80.
+
+    A type that a record has already is never replaced, and empty form values add nothing.
+    """
+    names = forms.sparkSession.createDataFrame(list(SUPPLEMENTS.items()), "_k string, field_type string")
+    f = forms.where(F.coalesce("v", F.lit("")) != "").withColumn("_k", F.upper(F.trim("k"))).join(F.broadcast(names), "_k")
+    f = f.groupBy(key, "field_type", "_k").agg(F.min("v").alias("value")).select(key, "field_type", F.initcap(F.lower("_k")).alias("label"), "value", F.lit(0.80).alias("confidence"))
+    return fields.unionByName(f.join(fields.select(key, "field_type").distinct(), [key, "field_type"], "left_anti"))
+
+
+ITEMS = "struct<ExpenseDocuments:array<struct<LineItemGroups:array<struct<LineItems:array<struct<LineItemExpenseFields:array<struct<Type:struct<Text:string>,ValueDetection:struct<Text:string>>>>>>>>>>"
+
+
+def expense_items(df: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, item_no, value): each line item of an expense response as `TYPE: value | ...`; parts without type or value are left out."""
+    groups = F.flatten(F.transform(F.from_json(body, ITEMS)["ExpenseDocuments"], lambda d: F.flatten(F.transform(d["LineItemGroups"], lambda g: g["LineItems"]))))
+    items = df.select(key, F.posexplode(groups).alias("item_no", "i"))
+    some = F.filter("i.LineItemExpenseFields", lambda x: (F.coalesce(x["Type"]["Text"], F.lit("")) != "") & (F.coalesce(x["ValueDetection"]["Text"], F.lit("")) != ""))
+    return items.select(key, "item_no", F.array_join(F.transform(some, lambda x: F.concat(x["Type"]["Text"], F.lit(": "), x["ValueDetection"]["Text"])), " | ").alias("value")).where("value <> ''")
+
+
+def line_text(b: DataFrame, key: str) -> DataFrame:
+    """(key, text): the LINE blocks of a response, in its order (`pos` if the blocks have one, else their id)."""
+    order = "pos" if "pos" in b.columns else "block_id"
+    l = b.where("BlockType = 'LINE' and Text is not null")
+    return l.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "Text"))), lambda x: x["Text"]), "\n").alias("text"))
+
+
+def structured_text(texts: DataFrame, key: str, tables: DataFrame | None = None, forms: DataFrame | None = None, fields: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """(key, structured): text, tables (key, table_no, page, markdown), forms (key, n, k, v), fields (key, n, label, value) and ids (key, n, k, v) as one text.
+
+    Parts that a record lacks leave no heading.
+    """
+    out = texts.select(key, F.coalesce("text", F.lit("")).alias("_text"))
+    parts = [("tables", tables, "--- TABLES ---", ["table_no"], lambda x: F.concat(F.lit("\nTable "), x["table_no"].cast("string"), F.lit(" (page "), x["page"].cast("string"), F.lit("):\n"), x["markdown"]), ["table_no", "page", "markdown"])]
+    pair = lambda a, b: lambda x: F.concat(x[a], F.lit(": "), F.coalesce(x[b], F.lit("")))
+    parts += [("forms", forms, "--- FORM FIELDS ---", ["n"], pair("k", "v"), ["n", "k", "v"]), ("fields", fields, "--- DOCUMENT FIELDS ---", ["n"], pair("label", "value"), ["n", "label", "value"]), ("ids", ids, "--- ID FIELDS ---", ["n"], pair("k", "v"), ["n", "k", "v"])]
+    cols = [F.col("_text")]
+    for name, df, head, _, line, need in parts:
+        if df is None:
+            continue
+        g = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*need))).alias(f"_{name}"))
+        g = g.select(key, F.concat(F.lit(f"\n\n{head}\n"), F.array_join(F.transform(f"_{name}", line), "\n")).alias(f"_{name}"))
+        out = out.join(g, key, "left")
+        cols.append(F.col(f"_{name}"))
+    return out.select(key, F.array_join(F.array_compact(F.array(*cols)), "\n").alias("structured"))
+
+
+def merge_pages(pages: DataFrame, key: str, page: str, text: str = "text") -> DataFrame:
+    """(key, text, page_count): the pages of a record by number, joined by blank lines; a null page counts as an empty one."""
+    p = pages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.coalesce(text, F.lit("")).alias("t")))).alias("x"))
+    return p.select(key, F.array_join(F.transform("x", lambda x: x["t"]), "\n\n").alias("text"), F.size("x").alias("page_count"))
+
+
+def spatial_order(boxes: DataFrame, key: str, band: float = 5.0) -> DataFrame:
+    """(key, n, text): boxes by bands of their top, then from the left."""
+    b = boxes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((F.bround(F.col("top") / band) * band).alias("row"), "left", "text"))).alias("b"))
+    return b.select(key, F.posexplode("b").alias("n", "x")).select(key, "n", F.col("x.text").alias("text"))
+
+
+def extract(b: DataFrame, key: str, mode: str = "auto") -> DataFrame:
+    """(key, part, n, name, value) of parsed responses by mode: text, tables, forms, or auto for all of them."""
+    if mode not in ("auto", "text", "tables", "forms"):
+        raise ValueError(f"unknown mode {mode}")
+    part = lambda df, name, n, k, v: df.select(key, F.lit(name).alias("part"), n.alias("n"), k.alias("name"), v.alias("value"))
+    none = F.lit("")
+    out = []
+    if mode in ("auto", "text"):
+        out.append(part(line_text(b, key), "text", F.lit(0), none, F.col("text")))
+    if mode in ("auto", "tables"):
+        out.append(part(markdown(table_cells(b, key), [key, "table_id"]), "table", F.lit(0), F.col("table_id"), F.col("markdown")))
+    if mode in ("auto", "forms"):
+        out.append(part(form_pairs(b, key), "form", F.lit(0), F.col("k"), F.col("v")))
+    whole = out[0]
+    for x in out[1:]:
+        whole = whole.unionByName(x)
+    return whole

@@ -126,3 +126,32 @@ def matches(c, pattern: str) -> Column:
         F.sequence(F.lit(1), F.size(found)), F.array().cast("array<int>"),
         lambda acc, i: F.array_append(acc, F.when(F.size(acc) == 0, F.lit(0)).otherwise(F.element_at(acc, -1) + F.length(F.get(found, i - 2))) + F.length(F.get(parts, i - 1))))
     return F.when(F.size(found) > 0, F.zip_with(starts, found, lambda s, r: F.struct(s.alias("start"), r.alias("raw"))))
+
+
+def annotated(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, annotated, n): the NFKC text with each entity as [TYPE:normalized]; texts without entities stay, null texts are null."""
+
+    def one(t: str | None) -> tuple[str | None, int]:
+        if t is None:
+            return None, 0
+        found, out, at = recognise(t), [], 0
+        t = unicodedata.normalize("NFKC", t)
+        for kind, _, norm, s, e, _ in found:
+            out += [t[at:s], f"[{kind}:{norm}]"]
+            at = e
+        return "".join([*out, t[at:]]), len(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [one(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int32())], names=["k", "annotated", "n"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return spread(df.select(df[key].alias("k"), df[text].alias("t"))).mapInArrow(run, f"k {kind}, annotated string, n int").withColumnRenamed("k", key)
+
+
+def by_type(entities: DataFrame, key: str) -> DataFrame:
+    """(key, entity_type, first, values): normalized values of each type in order of place, and the first of them."""
+    g = entities.groupBy(key, "entity_type").agg(F.array_sort(F.collect_list(F.struct("start_char", "normalized"))).alias("x"))
+    values = F.transform("x", lambda x: x["normalized"])
+    return g.select(key, "entity_type", F.get(values, 0).alias("first"), values.alias("values"))

@@ -122,3 +122,82 @@ def violations(df: DataFrame, key: str, fields: dict[str, str], rules=None) -> D
             bad = present(v) & (F.regexp_replace(F.coalesce(F.col(fields[need]), F.lit("")), r"\s+", "") == "")
         cols.append(F.when(bad, F.struct(F.lit(i).alias("rule_no"), F.lit(kind).alias("kind"), F.lit(field).alias("field"), F.lit(severity).alias("severity"))))
     return df.select(key, F.explode(F.filter(F.array(*cols), lambda x: x.isNotNull())).alias("v")).select(key, "v.*")
+
+
+def classify_named(df: DataFrame, text: str, name: str, window: int | None = None) -> DataFrame:
+    """`classify` with the file name first: a name that is sure to 0.80 decides, else the text does."""
+    by_name = classify_name(F.coalesce(F.col(name), F.lit("")))
+    df = classify(df.withColumn("name_class", by_name), text, window)
+    sure = (F.col("name_class.confidence") >= 0.80) & (F.coalesce(F.col(name), F.lit("")) != "")
+    return df.withColumn("class_confidence", F.when(sure, F.col("name_class.confidence")).otherwise(F.col("class_confidence"))).withColumn("doc_class", F.when(sure, F.col("name_class.doc_class")).otherwise(F.col("doc_class"))).withColumn("by", F.when(sure, "name").otherwise("text")).drop("name_class")
+
+
+# Rules of the other classes.
+RULES = {
+    "invoice": INVOICE_RULES,
+    "contract": [("required", "party_1", "", "error"), ("required", "party_2", "", "error"), ("required", "effective_date", "", "error"), ("regex", "effective_date", DATE, "error"), ("cross_field", "expiry_date", "effective_date", "warning")],
+    "medical": [("required", "patient_name", "", "error"), ("required", "provider_name", "", "error"), ("required", "document_date", "", "error"), ("regex", "document_date", DATE, "error"), ("regex", "diagnosis_codes", r"[A-Z]\d{2}\.?\d*", "error")],
+    "id_document": [("required", "id_number", "", "error"), ("required", "last_name", "", "error"), ("required", "date_of_birth", "", "error"), ("regex", "date_of_birth", DATE, "error"), ("regex", "expiry_date", DATE, "error")],
+    "medical_report": [("required", "title", "", "error"), ("required", "document_date", "", "error")],
+}
+LEAST_CONFIDENCE = 0.60
+
+
+def validate(df: DataFrame, key: str, fields: str, doc_type: str, confidence: str | None = None, extra: list[tuple] | None = None) -> DataFrame:
+    """(key, kind, field, severity) of the rules that a record breaks, by the rule set of its class.
+
+    `fields` is a map column; a class without rules breaks none. `extra` rules hold for every class; besides the kinds of
+    RULES there is numeric_range with (least, most) as its need, either of them None. A confidence under 0.60 is a warning.
+    """
+    f = F.col(fields)
+
+    def broken(kind: str, name: str, need, severity: str) -> Column:
+        v = F.regexp_replace(F.coalesce(f[name], F.lit("")), r"^\s+|\s+$", "")
+        if kind == "required":
+            bad = ~present(v)
+        elif kind == "regex":
+            bad = present(v) & ~v.rlike(need)
+        elif kind == "cross_field":
+            bad = present(v) & (F.regexp_replace(F.coalesce(f[need], F.lit("")), r"\s+", "") == "")
+        else:
+            n = F.regexp_replace(v, r"[^\d.]", "").try_cast("double")
+            low, high = need
+            bad = (v != "") & (n.isNull() | (n < low if low is not None else F.lit(False)) | (n > high if high is not None else F.lit(False)))
+            severity = "warning"
+        return F.when(bad, F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("field"), F.lit(severity).alias("severity")))
+
+    sets = F.lit(None)
+    for name, rules in RULES.items():
+        sets = F.when(F.col(doc_type) == name, F.array(*[broken(*r) for r in rules])).otherwise(sets)
+    none = F.array().cast("array<struct<kind:string,field:string,severity:string>>")
+    all_ = F.coalesce(sets, none)
+    if extra:
+        all_ = F.concat(all_, F.array(*[broken(*r) for r in extra]))
+    if confidence:
+        low = F.when(F.coalesce(F.col(confidence), F.lit(1.0)) < LEAST_CONFIDENCE, F.struct(F.lit("confidence").alias("kind"), F.lit("").alias("field"), F.lit("warning").alias("severity")))
+        all_ = F.concat(all_, F.array(low))
+    return df.select(key, F.explode(F.filter(all_, lambda x: x.isNotNull())).alias("v")).select(key, "v.*")
+
+
+def guard_retrieval(chunks: DataFrame, key: str, score: str = "score", rank: str = "rank", stale: str | None = None) -> DataFrame:
+    """(key, events) for retrieved chunks: K over 10, stale chunks, a top score under 0.25."""
+    n = F.count("*")
+    top = F.max(F.when(F.col(rank) == 1, F.col(score)))
+    old = F.sum(F.coalesce(F.col(stale), F.lit(False)).cast("int")) if stale else F.lit(0)
+    g = chunks.groupBy(key).agg(n.alias("n"), top.alias("top"), old.alias("old"))
+    events = F.array_compact(F.array(F.when(F.col("n") > 10, "FM-R5"), F.when(F.col("old") > 0, "FM-R6"), F.when(F.col("top") < 0.25, "FM-R1")))
+    return g.select(key, events.alias("events"), F.col("old").alias("stale_chunks"))
+
+
+def guard_generation(answers: DataFrame, key: str, answer: str, chunks: str, reply: str) -> DataFrame:
+    """(key, faithfulness, events): the score read from a judge's reply (0.5 if there is none), 1.0 without answer or chunks.
+
+    `chunks` is the number of retrieved chunks. Events: a score under 0.6, more than five chunks.
+    """
+    from paperloom.functions.text import parse_score
+
+    nothing = (F.coalesce(F.col(answer), F.lit("")) == "") | (F.coalesce(F.col(chunks), F.lit(0)) == 0)
+    score = F.when(nothing, 1.0).otherwise(parse_score(F.col(reply), 0.5))
+    g = answers.select(key, nothing.alias("_none"), score.alias("s"), F.col(chunks).alias("n"))
+    events = F.when(F.col("_none"), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(F.when(F.col("s") < 0.6, "FM-G1"), F.when(F.col("n") > 5, "FM-G2"))))
+    return g.select(key, F.round("s", 3).alias("faithfulness"), events.alias("events"))

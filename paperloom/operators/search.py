@@ -26,7 +26,7 @@ def _query_blocks(queries: DataFrame, cols: list[str]) -> list[pd.DataFrame | Da
     """Blocks of the queries with a vector, each at most BLOCK_MB."""
     q = cut(queries.select(*cols).where(F.col("vec").isNotNull()))
     size = q.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    blocks = -(-(size["n"] * ((size["dim"] or 0) + 4) * 8) // (BLOCK_MB << 20))
+    blocks = -(-(size["n"] * ((size["dim"] or 0) + 4) * 8) // int(BLOCK_MB * 2**20))
     b = F.pmod(F.xxhash64("id"), F.lit(max(1, blocks)))
     return [q.where(b == i) for i in range(blocks)]
 

@@ -5,8 +5,8 @@ a small aggregate per source fits the format mixture, and the winning reading is
 
 The only reading that a value itself leaves open is the order of a numeric day and month. Per source
 (table field and locale) the orders form a two-component mixture: a value contributes likelihood 1
-under every order in which it is a calendar date. Expectation-maximisation runs on the three
-sufficient counts per source (month-first only, day-first only, both), so its work does not grow
+under every order in which it is a calendar date. Expectation-maximisation runs on the
+sufficient counts per source (month-first only, day-first only), so its work does not grow
 with the rows; a Dirichlet prior carries the locale's convention. The posterior picks the order; if
 no order reaches `min_posterior` the value is marked ambiguous.
 """
@@ -117,27 +117,28 @@ def split_parts(df: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def fit_orders(parts: DataFrame, rounds: int = 30, prior: float = 20.0) -> DataFrame:
-    """Posterior share of month-first per source, by EM on the sufficient counts of each source."""
+def fit_orders(parts: DataFrame, prior: float = 20.0) -> DataFrame:
+    """Posterior share of month-first per source, by EM on the sufficient counts of each source.
+
+    The E-step gives a date open to both orders the share p of month-first, the M-step sets p to
+    (n_m + n_b p + prior s) / (n_m + n_d + n_b + prior). Their fixed point is taken directly, since the rounds to it have
+    no bound where nearly all dates are open.
+    """
     n = lambda c: F.sum(c.cast("bigint"))
     counts = parts.where(F.col("_kind") == "num").groupBy("source", "site_locale").agg(
         n(F.col("_mdy").isNotNull() & F.col("_dmy").isNull()).alias("n_m"),
         n(F.col("_mdy").isNull() & F.col("_dmy").isNotNull()).alias("n_d"),
-        n(F.col("_mdy").isNotNull() & F.col("_dmy").isNotNull()).alias("n_b"),
     )
     start = F.when(F.col("site_locale") == "en_US", F.lit(1.0 - 1e-6)).otherwise(F.lit(1e-6))
-    em = F.aggregate(
-        F.sequence(F.lit(1), F.lit(rounds)), start,
-        lambda p, _: (F.col("n_m") + F.col("n_b") * p + F.lit(prior) * start) / (F.col("n_m") + F.col("n_d") + F.col("n_b") + F.lit(prior)),
-    )
-    return counts.select("source", "site_locale", em.alias("_p_mdy"))
+    return counts.select("source", "site_locale", ((F.col("n_m") + prior * start) / (F.col("n_m") + F.col("n_d") + prior)).alias("_p_mdy"))
 
 
-def utc_forms(values: DataFrame, min_posterior: float = 0.6) -> DataFrame:
+def utc_forms(values: DataFrame, min_posterior: float = 0.6, one_order: bool = True) -> DataFrame:
     """`values` (source, site_zone, site_locale, value, ...) plus utc_form.
 
     Null values are dropped; empty or wordy values are `unreadable`. A local time that its zone has
-    twice or never is `ambiguous` / `nonexistent`. Extra columns are kept.
+    twice or never is `ambiguous` / `nonexistent`. With `one_order` a date that is no date in the order of its
+    source is `unreadable`; without, it keeps the one order in which it is a date. Extra columns are kept.
     """
     parts = split_parts(values.where(F.col("value").isNotNull()))
     orders = fit_orders(parts)  # one row per source and locale
@@ -145,9 +146,11 @@ def utc_forms(values: DataFrame, min_posterior: float = 0.6) -> DataFrame:
     p = F.coalesce(F.col("_p_mdy"), F.lit(0.5))
     first = F.coalesce(F.col("_p_mdy"), F.lit(0.5)) >= min_posterior
     second = F.lit(1.0) - p >= min_posterior
-    # a date readable in one order only keeps that order unless the source never uses it
     num_date = F.when(first, F.col("_mdy")).when(second, F.col("_dmy"))
     open_order = (F.col("_kind") == "num") & ~first & ~second
+    if not one_order:
+        num_date = F.coalesce(num_date, F.when(F.col("_dmy").isNull(), F.col("_mdy")).when(F.col("_mdy").isNull(), F.col("_dmy")))
+        open_order = open_order & F.col("_dmy").isNotNull() & F.col("_mdy").isNotNull()
     date = F.coalesce(F.col("_date"), num_date)
     tail = F.col("_tail")
     zone_name = F.regexp_extract(tail, r"^\[([A-Za-z_]+(?:/[A-Za-z_+\-0-9]+)+)\]$", 1)

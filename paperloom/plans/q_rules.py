@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import numbered_item, parse_score, tokens
 from paperloom.operators import incremental as inc
+from paperloom.operators import memory
 from paperloom.operators import rules
 from paperloom.session import table
 
@@ -319,14 +320,16 @@ def _sessions(spark, d):
 
 @q("multiturn_last6", f"SELECT query_id, session, count(*) OVER w AS turns, coalesce(sum(length(query)) OVER w,0) AS history_chars, min(query_id) OVER w AS any_first FROM {SESS} WINDOW w AS (PARTITION BY session ORDER BY asked_at, query_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)")
 def multiturn_last6(spark, d):
-    w = Window.partitionBy("session").orderBy("asked_at", "query_id").rowsBetween(-6, -1)
-    return _sessions(spark, d).select("query_id", "session", F.count(F.lit(1)).over(w).alias("turns"), F.coalesce(F.sum(F.length("query")).over(w), F.lit(0)).alias("history_chars"), F.min("query_id").over(w).alias("any_first"))
+    """The six turns before each question of a session, which is shared among tasks by day."""
+    r = memory.recent(_sessions(spark, d), "session", ["asked_at", "query_id"], F.struct("query_id", F.length("query").alias("n")), 6, F.to_date("asked_at"))
+    chars = F.aggregate("recent", F.lit(0), lambda a, x: a + F.coalesce(x["n"], F.lit(0)))
+    return r.select("query_id", "session", F.size("recent").alias("turns"), chars.alias("history_chars"), F.array_min(F.transform("recent", lambda x: x["query_id"])).alias("any_first"))
 
 
 @q("short_term_memory", f"SELECT query_id, md5(coalesce(string_agg(substr(query,1,80),'|') OVER w,'')) AS memory_md5 FROM {SESS} WINDOW w AS (PARTITION BY session ORDER BY asked_at, query_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
 def short_term_memory(spark, d):
-    w = Window.partitionBy("session").orderBy("asked_at", "query_id").rowsBetween(-5, -1)
-    return _sessions(spark, d).select("query_id", F.md5(F.array_join(F.collect_list(F.substring("query", 1, 80)).over(w), "|")).alias("memory_md5"))
+    r = memory.recent(_sessions(spark, d), "session", ["asked_at", "query_id"], F.substring("query", 1, 80), 5, F.to_date("asked_at"))
+    return r.select("query_id", F.md5(F.array_join("recent", "|")).alias("memory_md5"))
 
 
 LW = f"(SELECT DISTINCT query_id, coalesce(tenant_id,'') AS t, asked_at::DATE AS day, unnest(list_filter(string_split_regex(lower(query),'\\s+'),lambda x: length(x)>4)) AS w FROM {LOG})"

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from paperloom.plans import q_extract, q_layout, q_more, q_rules, q_search, q_stream
+from paperloom.plans import q_extract, q_layout, q_more, q_rules, q_search, q_service, q_stream
 
-QUERIES: dict[str, tuple] = {**q_search.Q, **q_rules.Q, **q_extract.Q, **q_stream.Q, **q_more.Q, **q_layout.Q}
+QUERIES: dict[str, tuple] = {**q_search.Q, **q_rules.Q, **q_extract.Q, **q_stream.Q, **q_more.Q, **q_layout.Q, **q_service.Q}

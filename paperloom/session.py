@@ -58,13 +58,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write an intermediate once to the shared checkpoint folder and go on from the written copy.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session, a folder that all executors share; a local run without one gets a folder of its own."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not base and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return base or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
 
-    The folder is spark.checkpoint.dir of the session; only where that is unset (local tests) a
-    folder is set here.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write an intermediate once to the shared checkpoint folder and go on from the written copy."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)

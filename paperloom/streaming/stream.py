@@ -6,8 +6,6 @@ written by task to Parquet there and read back, so nothing passes through the dr
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from paperloom.operators import incremental
+from paperloom.session import checkpoint_folder
+
 
 def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base or tempfile.mkdtemp(prefix='spark-', dir=os.environ.get('TMPDIR', '/tmp'))}/stream-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -77,3 +77,28 @@ def last_values(events: DataFrame, keep: int = 5) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "n": [seen], "last_ids": [newest]})
 
     return events.select("user_id", "event_id").groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n bigint, last_ids string", "seen bigint, newest string", "update", GroupStateTimeout.NoTimeout)
+
+
+def reindex(pages: DataFrame) -> DataFrame:
+    """Changes (KEY, status) of all batches of pages (KEY, text, seq): each batch is diffed against the pages before it.
+
+    Pages that a batch lacks are not deleted, as a batch is no whole collection. The index is written as a new version per
+    batch; a batch that is run again after a failure reads the version before it and overwrites its own.
+    """
+    spark = pages.sparkSession
+    folder = shared_folder(spark)
+    empty = spark.createDataFrame([], "collection string, doc_id string, page_num int, hash string, char_count int, seq timestamp")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+
+    def put(batch: DataFrame, n: int) -> None:
+        before = f"{folder}/index/v={n - 1}"
+        old = spark.read.parquet(before) if n and fs_path(before).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path(before)) else empty
+        last = batch.groupBy(*incremental.KEY).agg(F.max_by("text", "seq").alias("text"), F.max("seq").alias("seq"))
+        new = incremental.page_index(last).join(last.select(*incremental.KEY, "seq"), incremental.KEY)
+        changes = incremental.diff(new, old).where("status <> 'DELETED'")
+        changes.select(*incremental.KEY, "status").write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+        kept = old.join(new.select(*incremental.KEY), incremental.KEY, "left_anti")
+        kept.unionByName(new).write.mode("overwrite").parquet(f"{folder}/index/v={n}")
+
+    pages.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/cp").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch")

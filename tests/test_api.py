@@ -75,3 +75,13 @@ def test_reading_lines(spark):
     assert [(r.line_no, r.text) for r in doc.reading_lines(df, "page_id").orderBy("line_no").collect()] == [(0, "a b"), (1, "c")]
     assert doc.reading_lines(df.where("page_id > 1"), "page_id").count() == 0
     assert doc.reading_lines(df.withColumn("word", F.lit(None).cast("string")).limit(0), "page_id").count() == 0
+
+
+def test_process_and_compare(spark):
+    docs = spark.createDataFrame([(1, "Invoice No: AB-123\nTotal due: $5.00", "invoice_1.txt"), (2, None, "x.txt"), (3, "", None)], "doc_id int, text string, file_name string")
+    rows = api.process(docs)
+    got = {(r.doc_id, r.doc_class, r.error) for r in rows.collect()}
+    assert got == {(1, "invoice", None), (2, "other", "no text"), (3, "other", None)}
+    assert tuple(api.batch_totals(rows).first())[:2] == (3, 1)
+    runs = spark.createDataFrame([("a", 0.9), ("a", 0.7), ("b", None), ("c", 0.8)], "spec string, faithfulness double")
+    assert {(r.spec_a, r.spec_b, r.winner) for r in api.compare(runs).collect()} == {("a", "b", "a"), ("a", "c", "a"), ("b", "c", "c")}

@@ -55,13 +55,14 @@ def test_top_k_equals_brute_force(spark):
     v = rng.normal(size=(300, 16))
     df = spark.createDataFrame([(i, v[i].tolist()) for i in range(300)] + [(999, None)], "id bigint, vec array<double>")
     got = {}
-    old = search.ROWS, search.QUERIES
-    search.ROWS, search.QUERIES = 64, 2
+    old = search.BLOCK_MB
+    search.BLOCK_MB = 0.0005  # several blocks of queries
     try:
         for r in search.top_k(df.where("id % 50 = 0"), df, 4).collect():
             got.setdefault(r.query_id, []).append((r["rank"], r.id))
     finally:
-        search.ROWS, search.QUERIES = old
+        search.BLOCK_MB = old
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
     for q in range(0, 300, 50):
         s = np.round(v @ v[q], 9)
         s[q] = -np.inf

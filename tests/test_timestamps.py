@@ -50,3 +50,14 @@ def test_nulls_have_no_row(forms):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "source string, site_zone string, site_locale string, value string")
     assert utc_forms(df).count() == 0
+
+
+def test_orders_by_source(spark):
+    from paperloom.operators import timestamps as T
+
+    rows = [("s", "UTC", "de_DE", v) for v in ["03/25/2024", "13/02/2024", "04/05/2024", "", None, "31.02.2024"]]
+    df = spark.createDataFrame(rows, "source string, site_zone string, site_locale string, value string")
+    strict = {r.value: r.utc_form for r in T.utc_forms(df).collect()}
+    assert strict == {"03/25/2024": "unreadable", "13/02/2024": "2024-02-13", "04/05/2024": "2024-05-04", "": "unreadable", "31.02.2024": "unreadable"}
+    loose = {r.value: r.utc_form for r in T.utc_forms(df, one_order=False).collect()}
+    assert loose == strict | {"03/25/2024": "2024-03-25"}
