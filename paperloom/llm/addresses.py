@@ -214,6 +214,22 @@ def fit_weights(patterns: pd.DataFrame, rounds: int = 60) -> tuple[float, np.nda
     return p, m, u
 
 
+def components(ids: DataFrame, both: DataFrame) -> DataFrame:
+    """(id, loc): the least id that is linked to each id, by links (a, b) given in both directions."""
+    label = ids.select("id", F.col("id").alias("loc"))
+    while True:  # labels fall to the least of a component; following the label of the label halves the way each round
+        nb = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("loc").alias("m"))
+        near = label.join(nb.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("loc").alias("was"), F.least("loc", F.coalesce("m", "loc")).alias("loc"))
+        near = cut(near)
+        up = near.select(F.col("id").alias("loc"), F.col("loc").alias("up"))
+        new = cut(near.join(up, "loc", "left").select("id", F.least("loc", F.coalesce("up", "loc")).alias("loc"), "was"))
+        moved = new.where("loc < was").limit(1).count()
+        label = new.select("id", "loc")
+        if not moved:
+            break
+    return label
+
+
 def link_addresses(strings: DataFrame, min_posterior: float = 0.9) -> DataFrame:
     """(address, location) of the distinct strings that are addresses."""
     schema = ", ".join(f"{f} string" for f in FIELDS)
@@ -244,6 +260,7 @@ def link_addresses(strings: DataFrame, min_posterior: float = 0.9) -> DataFrame:
     p = cut(p.join(reps, comps))
     blocks = blocks.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
     a, b = blocks.withColumnRenamed("id", "a"), blocks.withColumnRenamed("id", "b")
+    # the keys of a pair hold number, letter and unit besides the block, and what AQE finds skewed it splits
     pairs = a.join(b, [*same, "block"]).where("a < b").select("a", "b").distinct()
     full = p.where(F.col("id") == F.col("rep")).select("id", F.struct(*FIELDS).alias("c"))
     pairs = pairs.join(full.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(full.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b")
@@ -270,14 +287,7 @@ def link_addresses(strings: DataFrame, min_posterior: float = 0.9) -> DataFrame:
     weights = strings.sparkSession.createDataFrame(patterns[[*gs, "post_p"]].astype({"post_p": float}), ", ".join(f"{x} int" for x in gs) + ", post_p double")
     links = pairs.join(F.broadcast(weights), gs).where((F.col("post_p") >= min_posterior) & F.col("ok")).select("a", "b")
     both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = p.where(F.col("id") == F.col("rep")).select("id", F.col("id").alias("loc"))
-    for _ in range(30):  # links run through fuller strings, so labels settle after few rounds
-        nb = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("loc").alias("m"))
-        new = cut(label.join(nb.withColumnRenamed("a", "id"), "id", "left").select("id", F.least("loc", F.coalesce("m", "loc")).alias("loc"), (F.col("m") < F.col("loc")).alias("moved")))
-        moved = new.where("moved").limit(1).count()
-        label = new.select("id", "loc")
-        if not moved:
-            break
+    label = components(p.where(F.col("id") == F.col("rep")).select("id"), both)
     return p.join(label.withColumnRenamed("id", "rep"), "rep").select("address", F.col("loc").alias("location"), *FIELDS)
 
 

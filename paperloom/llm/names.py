@@ -11,8 +11,10 @@
    Relatives (other given name, junior) and sister companies (other line of business) stay apart.
 
 Only distinct strings are compared, so a spelling that fills a third of all rows costs no more than any
-other. Size bounds: a word enters the lexicon if it has partners in at least max(6, share x strings)
-strings, so at most (words a string) / share words are broadcast. Null and blank names have no pairs.
+other. The lexicon, which is sent to tasks, holds words that stand with at least PARTNERS others and with more than those
+do on average, whatever the size of the table: its size is that of the given names and lines of business in use, not
+of the rows. Cores of LONG letters may differ by two edits, shorter ones by one; cores of one letter are not compared.
+Null and blank names have no pairs.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 
 from paperloom.session import cut, spread, table
 
-SHARE = 0.003
-EDITS = 1
+#: Partners that a word of the lexicon has at least.
+PARTNERS = 6
+#: Edits between cores, and for cores of LONG letters.
+EDITS, LONG_EDITS, LONG = 1, 2, 10
 # Titles, additions and particles of personal names; legal forms; articles.
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "sir", "herr", "frau", "mme", "mlle", "m", "sr", "sra", "srta", "don", "doña", "monsieur", "madame", "señor", "señora"}
 JUNIOR = {"jun", "jr", "junior", "ii", "iii", "fils", "hijo"}
@@ -158,16 +162,17 @@ def learn_lexicon(names: DataFrame) -> dict[str, dict[str, int]]:
 
     w = cut(names.select("name_field", "name", F.explode(words("name")).alias("w")))
     counts = w.groupBy("name_field", "w").agg(F.count("*").alias("c"))
-    totals = {r.name_field: r.n for r in names.groupBy("name_field").agg(F.count("*").alias("n")).collect()}  # a row a field
     w = w.join(counts, ["name_field", "w"])
     # a word's partner in a string is the rarest other word there
     rare = w.groupBy("name_field", "name").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "w"))), 1, 2).alias("r"))
     rare = rare.where(F.size("r") == 2).select("name_field", "name", F.col("r")[0]["w"].alias("w1"), F.col("r")[1]["w"].alias("w2"))
-    partner = w.join(rare, ["name_field", "name"]).select("name_field", "w", "c", F.when(F.col("w") == F.col("w1"), F.col("w2")).otherwise(F.col("w1")).alias("p"))
-    least = F.create_map(*[F.lit(x) for k, v in totals.items() for x in (k, max(6.0, SHARE * v))]) if totals else F.create_map(F.lit(""), F.lit(1.0))
-    lex = partner.groupBy("name_field", "w").agg(F.approx_count_distinct(F.substring("p", 1, 5)).alias("d"), F.first("c").alias("c")).where(F.col("d") >= least[F.col("name_field")])
+    partner = cut(w.join(rare, ["name_field", "name"]).select("name_field", "w", "c", F.when(F.col("w") == F.col("w1"), F.col("w2")).otherwise(F.col("w1")).alias("p")))
+    d = partner.groupBy("name_field", "w").agg(F.approx_count_distinct(F.substring("p", 1, 5)).alias("d"), F.first("c").alias("c"))
+    # given names and lines of business have more partners than the words that they stand with have
+    theirs = partner.join(d.select("name_field", F.col("w").alias("p"), F.col("d").alias("dp")), ["name_field", "p"]).groupBy("name_field", "w").agg(F.avg("dp").alias("dp"))
+    lex = d.where(F.col("d") >= PARTNERS).join(theirs, ["name_field", "w"]).where(F.col("d") > F.col("dp"))
     out: dict[str, dict[str, int]] = {}
-    for r in lex.collect():
+    for r in lex.select("name_field", "w", "c").collect():
         out.setdefault(r.name_field, {})[r.w] = r.c
     return out
 
@@ -183,32 +188,55 @@ def _abbreviates(short: str, full: str) -> bool:
     return all(c in it for c in plural) and len(short) <= len(full) - 2 and sum(c in "aeiou" for c in short) <= 2
 
 
+def _less(w: str) -> set[str]:
+    return {w} | {w[:i] + w[i + 1 :] for i in range(len(w))}
+
+
 class Lexicon:
-    """Frequent words of one field, with lookups for abbreviations and single typing errors."""
+    """Frequent words of one field, with lookups for abbreviations and single typing errors.
+
+    Words within one edit share a string that one deletion leaves of both, so candidates come from an index of those;
+    abbreviations from the words of their first letter.
+    """
 
-    def __init__(self, counts: dict[str, int]):
-        top = sorted(counts.items(), key=lambda x: -x[1])
+    def __init__(self, counts: dict[str, int], tabled: frozenset[str] = frozenset()):
+        """`tabled` words are never taken for mistyped ones."""
+        top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
         self.words: dict[str, str] = {}
-        full: list[str] = []
-        for w, c in top:  # rarer words may be shortened or mistyped forms of commoner ones
-            self.words[w] = next((f for f in full if counts[f] > 3 * c and (len(w) > 3 and osa(w, f, 1) <= 1)), w)
-            if self.words[w] == w:
-                full.append(w)
-        self.full = full
+        self.full: list[str] = []
         self.counts = counts
         self.memo: dict[tuple[str, bool, bool], str | None] = {}
+        self.near: dict[str, list[str]] = {}
+        self.first: dict[str, list[str]] = {}
+        self.prefix: dict[str, list[str]] = {}
+        for w, c in top:  # rarer words may be shortened or mistyped forms of commoner ones
+            self.words[w] = next((f for f in self.alike(w) if counts[f] > 3 * c), w) if len(w) > 3 and w not in tabled else w
+            if self.words[w] == w:
+                self.full.append(w)
+                self.first.setdefault(w[0], []).append(w)
+                for x in _less(w):
+                    self.near.setdefault(x, []).append(w)
+                for n in range(3, len(w)):
+                    self.prefix.setdefault(w[:n], []).append(w)
+
+    def alike(self, w: str) -> list[str]:
+        """Words within one edit, commonest first."""
+        found = {f for x in _less(w) for f in self.near.get(x, ()) if osa(w, f, 1) <= 1}
+        return sorted(found, key=lambda f: (-self.counts[f], f))
 
     def find(self, w: str, abbreviations: bool, dotted: bool = False) -> str | None:
         key = (w, abbreviations, dotted)
         if key not in self.memo:
             hit = self.words.get(w)
             if abbreviations and (hit is None or hit == w):
-                longer = [f for f in self.full if f != w and _abbreviates(w, f) and (hit is None or self.counts[f] > self.counts.get(w, 0))] if hit or dotted or len(w) > 3 else []
+                longer = [f for f in self.first.get(w[:1], ()) if f != w and _abbreviates(w, f) and (hit is None or self.counts[f] > self.counts.get(w, 0))] if hit or dotted or len(w) > 3 else []
                 if longer and len(w) < 8:
                     # the commonest word that starts so, else the commonest that has these letters
                     hit = max(longer, key=lambda f: (f.startswith(w), self.counts[f]))
             if hit is None and len(w) > 3:
-                hit = next((f for f in self.full if osa(w, f, 1) <= 1), None)
+                hit = next(iter(self.alike(w)), None)
+            if len(self.memo) > 200_000:
+                self.memo.clear()
             self.memo[key] = hit
         return self.memo[key]
 
@@ -278,7 +306,7 @@ def parse_person(name: str, lex: Lexicon) -> tuple[str, list[str], str]:
     # initials in front of the family name after a full given name carry nothing here
     canonical = (lex.find(first, False) or first) if len(first) > 1 else first
     if len(canonical) > 2 and canonical not in lex.counts:
-        longer = [f for f in lex.full if f.startswith(canonical) and lex.counts[f] > 1]
+        longer = [f for f in lex.prefix.get(canonical, ()) if lex.counts[f] > 1]
         canonical = longer[0] if len(longer) == 1 else canonical
     return "".join(family), [canonical], tags
 
@@ -288,12 +316,14 @@ def link_names(names: DataFrame, short_forms: DataFrame | None = None) -> DataFr
     spark = names.sparkSession
     names = cut(names)
     lexicon = learn_lexicon(names)
+    known_forms: set[str] = set()
     if short_forms is not None:  # a fixed table of given names
         for r in short_forms.select("short_form", "given_name").collect():
             for f in PERSON_FIELDS:
                 for w in (fold(r.given_name), fold(r.short_form)):
                     lexicon.setdefault(f, {}).setdefault(w, 1)
-    shared = spark.sparkContext.broadcast(lexicon)
+                    known_forms.add(w)
+    shared = spark.sparkContext.broadcast((lexicon, frozenset(known_forms)))
 
     @F.pandas_udf("core string, attrs array<string>, tag string")
     def parse(field: pd.Series, name: pd.Series) -> pd.DataFrame:
@@ -301,7 +331,7 @@ def link_names(names: DataFrame, short_forms: DataFrame | None = None) -> DataFr
         rows = []
         for f, n in zip(field, name):
             if f not in lex:
-                lex[f] = Lexicon(shared.value.get(f, {}))
+                lex[f] = Lexicon(shared.value[0].get(f, {}), shared.value[1])
             rows.append((parse_person if f in PERSON_FIELDS else parse_organisation)(n, lex[f]))
         return pd.DataFrame(rows, columns=["core", "attrs", "tag"])
 
@@ -309,33 +339,38 @@ def link_names(names: DataFrame, short_forms: DataFrame | None = None) -> DataFr
     # roots of cores
     cores = cut(parsed.groupBy("name_field", "core").agg(F.sum("n").alias("n"), F.count("*").alias("m")))
     near = similar_pairs(cores, ["name_field"], "core", EDITS)
+    near = near.unionByName(similar_pairs(cores.where(F.length("core") >= LONG), ["name_field"], "core", LONG_EDITS)).distinct()
     both = cut(near.select("name_field", F.col("a").alias("core"), F.col("b").alias("to")).unionByName(near.select("name_field", F.col("b").alias("core"), F.col("a").alias("to"))))
     support = cores.select("name_field", F.col("core").alias("to"), F.struct("m", "n", "core").alias("s"))
     best = both.join(support, ["name_field", "to"]).groupBy("name_field", "core").agg(F.max("s").alias("s"))
     own = cores.join(best, ["name_field", "core"], "left")
     up = cut(own.select("name_field", "core", F.when(F.col("s") > F.struct("m", "n", "core"), F.col("s.core")).otherwise(F.col("core")).alias("root")))
-    for _ in range(2):
-        up = up.join(up.select("name_field", F.col("core").alias("root"), F.col("root").alias("r2")), ["name_field", "root"]).select("name_field", "core", F.col("r2").alias("root"))
+    while True:  # a core follows a better supported one, so chains end; each round halves them
+        far = up.join(up.select("name_field", F.col("core").alias("root"), F.col("root").alias("r2")), ["name_field", "root"]).select("name_field", "core", "root", F.col("r2"))
+        far = cut(far)
+        moved = far.where("root <> r2").limit(1).count()
+        up = far.select("name_field", "core", F.col("r2").alias("root"))
+        if not moved:
+            break
     parsed = cut(parsed.join(up, ["name_field", "core"]).withColumn("person", F.col("name_field").isin(*PERSON_FIELDS)))
-    keys = parsed.groupBy("name_field", "root", "person", "tag", "attrs").agg(F.sum("n").alias("n"))
+    keys = cut(parsed.groupBy("name_field", "root", "person", "tag", "attrs").agg(F.sum("n").alias("n")))
     # given names: short forms, tabled and learned from families that have both
     people = keys.where("person").select("name_field", "root", F.col("attrs")[0].alias("g"), "tag", "n").where(F.length("g") > 1)
-    seen = people.select("name_field", "root", "g").distinct()
-    n_g = seen.groupBy("name_field", "g").agg(F.count("*").alias("n_g"))
+    seen = cut(people.select("name_field", "root", "g").distinct())
+    n_g = cut(seen.groupBy("name_field", "g").agg(F.count("*").alias("n_g")))
     both_g = seen.join(seen.withColumnRenamed("g", "h"), ["name_field", "root"]).where("g <> h").groupBy("name_field", "g", "h").agg(F.count("*").alias("c"))
     alias = both_g.join(n_g, ["name_field", "g"]).join(n_g.withColumnRenamed("g", "h").withColumnRenamed("n_g", "n_h"), ["name_field", "h"])
     alias = alias.where((F.col("c") >= 3) & (F.col("c") >= 0.5 * F.col("n_g")) & (F.col("n_h") > F.col("n_g"))).groupBy("name_field", "g").agg(F.max_by("h", F.struct("c", "h")).alias("full"))
     people_g = seen
     if short_forms is not None:
-        f = F.udf(fold, "string")
-        tabled = short_forms.select(f("short_form").alias("g"), f("given_name").alias("h")).distinct()
+        tabled = spark.createDataFrame(sorted({(fold(r.short_form), fold(r.given_name)) for r in short_forms.select("short_form", "given_name").collect()}), "g string, h string")  # a fixed table
         # a tabled form counts for a family in which its given name occurs; an ambiguous one for none that has two
         known = seen.join(F.broadcast(tabled), "g").join(seen.withColumnRenamed("g", "h"), ["name_field", "root", "h"]).groupBy("name_field", "root", "g").agg(F.min("h").alias("h"), F.count("*").alias("c")).where("c = 1").select("name_field", "root", "g", "h")
         lone = tabled.groupBy("g").agg(F.min("h").alias("only"), F.count("*").alias("c")).where("c = 1").select("g", "only")
         people_g = seen.join(known, ["name_field", "root", "g"], "left").join(F.broadcast(lone), "g", "left")
     else:
         people_g = seen.withColumn("h", F.lit(None).cast("string")).withColumn("only", F.lit(None).cast("string"))
-    people_g = people_g.join(alias, ["name_field", "g"], "left").select("name_field", "root", "g", F.coalesce("h", "full", "only", "g").alias("given"))
+    people_g = cut(people_g.join(alias, ["name_field", "g"], "left").select("name_field", "root", "g", F.coalesce("h", "full", "only", "g").alias("given")))
     # a rare form in a family with one person is that person
     people_g = people_g.join(n_g, ["name_field", "g"]).withColumn("rare", (F.col("given") == F.col("g")) & (F.col("n_g") < 5))
     lone = people_g.where(~F.col("rare")).groupBy("name_field", "root").agg(F.min("given").alias("lone"), F.countDistinct("given").alias("c")).where("c = 1").drop("c")

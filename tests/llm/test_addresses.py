@@ -44,3 +44,12 @@ def test_links(spark):
     assert len({got[x] for x in other} | {got[same[0]]}) == len(other) + 1
     assert "TBC" not in got and all(got[x] == got[x.upper()] for x in more)
     assert A.link_addresses(spark.createDataFrame([], "address string")).count() == 0
+
+
+def test_long_chains_become_one_location(spark, monkeypatch):
+    # forty links in a row, each of which is the only one between its ends
+    from paperloom.session import cut
+
+    n = 40
+    both = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(i + 1, i) for i in range(n)], "a bigint, b bigint")
+    assert {r.loc for r in A.components(spark.createDataFrame([(i,) for i in range(n + 2)], "id bigint"), cut(both)).where(f"id <= {n}").collect()} == {0}

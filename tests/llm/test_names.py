@@ -5,6 +5,8 @@ import itertools
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from paperloom.llm import names as N
 
 
@@ -33,10 +35,10 @@ def test_segment_join_equals_brute_force(spark):
     random.seed(5)
     words = {"".join(random.choice("abcd") for _ in range(random.randint(4, 9))) for _ in range(120)}
     words |= {w[:2] + w[3:] for w in list(words)[:40]} | {w[1] + w[0] + w[2:] for w in list(words)[:40]}
-    words = {w for w in words if len(w) > 3}
+    words = {w for w in words if len(w) > 1} | {"ab", "abc", "acb", "b", ""}
     df = spark.createDataFrame([("f", w) for w in words], "g string, w string")
     got = {(r.a, r.b) for r in N.similar_pairs(df, ["g"], "w", 1).collect()}
-    assert got == {(a, b) for a in words for b in words if a < b and _osa(a, b) <= 1}
+    assert got == {(a, b) for a in words for b in words if a < b and min(len(a), len(b)) > 1 and _osa(a, b) <= 1}
 
 
 GIVEN = ["Elizabeth", "Robert", "William", "Nicholas", "Susan", "Thomas", "Andrew", "Victoria"]
@@ -60,3 +62,33 @@ def test_people_and_firms(spark):
     assert len({e["vendor", v] for v in firm}) == 1
     assert e["vendor", "Resupuxis Food Services Inc"] != e["vendor", firm[0]]
     assert N.link_names(df.where("name_field = 'none'"), forms).count() == 0
+
+
+def test_two_edits_against_brute_force(spark):
+    import random
+
+    random.seed(6)
+    words = {"".join(random.choice("abcd") for _ in range(random.randint(8, 12))) for _ in range(60)}
+    for w in list(words):
+        i = random.randrange(2, 6)
+        words |= {w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[1:4] + w[5:], "x" + w[:3] + w[4] + w[3] + w[5:]}
+    df = spark.createDataFrame([("f", w) for w in words], "g string, w string")
+    got = {(r.a, r.b) for r in N.similar_pairs(df, ["g"], "w", 2).collect()}
+    assert got == {(a, b) for a in words for b in words if a < b and _osa(a, b) <= 2}
+    some = sorted(words)[:40]
+    left, right = df.where(F.col("w").isin(some)), df.where(~F.col("w").isin(some))
+    got = {(r.a, r.b) for r in N.similar_pairs(left, ["g"], "w", 2, right).collect()}
+    assert got == {(a, b) for a in some for b in words - set(some) if _osa(a, b) <= 2}
+
+
+def test_lexicon_does_not_depend_on_the_rows(spark):
+    given_, family = ["anna", "jonas", "maria", "peter"], [f"{a}{b}lo" for a in ("ber", "kun", "tas", "wil") for b in ("go", "ma", "ri")]
+    rows = [("claimant_name", f"{g} {f}", 1) for g in given_ for f in family]
+    more = [("claimant_name", f"{x}a{k} {x}o{k}son", 1) for k in range(40) for x in ("qu", "zy", "xe", "vo", "pi", "lu")]
+    names = lambda r: spark.createDataFrame(r, "name_field string, name string, n bigint")
+    assert set(N.learn_lexicon(names(rows))["claimant_name"]) == set(given_) <= set(N.learn_lexicon(names(rows + more))["claimant_name"])
+
+
+def test_words_alike():
+    lex = N.Lexicon({"benjamin": 90, "jenny": 9, "benny": 2, "trading": 50, "mathew": 1}, frozenset({"benny"}))
+    assert lex.find("benny", False) == "benny" and lex.find("bejnamin", False) == "benjamin" and lex.find("trdg", True) == "trading" and lex.find("zzz", False) is None
