@@ -5,7 +5,8 @@ keys are shuffled, to count a key that was delivered twice once. Four devices:
 
 * a suffix automaton of the prompt's words; the response is run through it, and the share of its words
   that lie in matches of two words or more (or the whole prompt) is the copied coverage;
-* an Aho-Corasick automaton of refusal phrases, asked for the first sentence of the response;
+* an Aho-Corasick automaton of refusal phrases and one over classes of words (speaker, refusal, act of answering), asked
+  for the first sentences of the response;
 * a stack of delimiters, and the form of the last line, for responses that break off;
 * votes of stopwords for the languages of prompt and response.
 
@@ -35,19 +36,26 @@ REFUSALS = """
 can't help with; cannot help with; can not help with; unable to help with; can't assist with; cannot assist with; unable to assist; unable to answer; cannot answer this; can't answer this; cannot answer that; can't answer that
 not able to comment; not able to answer; not able to help; not able to assist; not able to provide; not able to discuss; decline to discuss; decline to answer; must decline; have to decline; i decline
 not be appropriate for me; rather not give an answer; rather not answer; rather not say; prefer not to answer; no answer can be offered; no answer can be given; not in a position to answer; not in a position to; not allowed to answer; not permitted to
-as a language model; as an ai; i will not answer; i won't answer; i won't be able to; i will not be able to; i cannot comment; i can't comment; i cannot provide; i can't provide; i cannot share; i can't share; i'm afraid i can; i am afraid i can; context is insufficient; against my guidelines; i cannot discuss; i can't discuss
+as a language model; as an ai; i will not answer; i won't answer; i won't be able to; i will not be able to; i cannot comment; i can't comment; i cannot provide; i can't provide; i cannot share; i can't share; i'm afraid i can; i am afraid i can; context is insufficient; against my guidelines; i cannot discuss; i can't discuss; outside what i can; beyond what i can; outside of what i can; not something i can; outside my scope; beyond my scope
 nicht helfen; nicht weiterhelfen; keine auskunft geben; nicht beantworten; als sprachmodell; als ki; möchte ich mich nicht äußern; nicht äußern; keine antwort geben; nicht in der lage; darf ich nicht; kann ich nichts sagen; lieber nicht
 ne peux pas vous aider; ne peux pas répondre; ne suis pas en mesure; préfère ne pas répondre; ne pas répondre; ne puis répondre; en tant que modèle; impossible de répondre; ne saurais répondre; ne peux pas fournir; ne peux pas vous fournir; refuse de répondre
 no puedo ayudar; no puedo responder; no me es posible responder; no me es posible; prefiero no contestar; prefiero no responder; como modelo de lenguaje; no estoy en condiciones; no puedo contestar; no puedo facilitar; no puedo proporcionar; no estoy autorizado; me niego a
 """
+# Classes of words whose sequence declines, whatever stands between: the speaker, a refusal, an act of answering.
+SELF = set("i we i'm we're ich wir je nous yo".split())
+DENIES = set("not cannot can't won't couldn't wouldn't refuse refused decline unable nicht keine kein ne pas refuse refusons no".split())
+ACTS = set("answer answering help assist comment discuss provide share give offer respond disclose advise speculate antworten beantworten helfen weiterhelfen kommentieren geben äußern répondre aider fournir commenter donner responder contestar ayudar comentar dar proporcionar".split())
+REACH = 6
+# Words by which a sentence begins, where a short answer does not.
+BEGINS = set("the a an it this these that yes no for der die das ein eine es für le la les l un une il elle el los las una".split())
 # What stands in front of a repeated question.
 LEADS = {"you asked", "question", "your question", "you asked me", "the question was", "q", "frage", "ihre frage", "sie fragten", "sie haben gefragt", "votre question", "vous avez demandé", "pregunta", "su pregunta", "usted preguntó", "ha preguntado", "query", "prompt"}
 # Frequent words of each language that the others lack or rarely have.
 STOPWORDS = {
     "en": "the of and to is are was were which that this with for from by an it not what how who when does did has have be been than then there on at their its can such about before after as our or under both",
     "de": "der die das und ist sind war wurde den dem des ein eine einer einem einen mit für von auf nicht was wie wer wann hat haben im zum zur bei aus nach als über unter vor und es auch oder wird welche welcher je etwa kann sich durch trotz laut",
-    "fr": "le la les l des du et est sont été une un avec pour dans sur par qui que quel quelle quelles quels au aux ne pas ce cette il elle ont en d à où plus avant après comme ou selon chaque deux jours",
-    "es": "el los las del y es son fue fueron una un con para por en que qué cuál cuándo quién al no se lo su sus este esta como más antes después o desde hace ha según cada dos días hasta además",
+    "fr": "le la les l de des du et est sont été une un avec pour dans sur par qui que quel quelle quelles quels au aux ne pas ce cette il elle ont en d à où plus avant après comme ou selon chaque deux jours",
+    "es": "el la los las de del y es son fue fueron una un con para por en que qué cuál cuáles cuándo quién cuánto cuánta cuántos cuántas cómo dónde al no se lo su sus este esta como más antes después o desde hace ha según cada dos días hasta además",
 }
 # Words by which a prompt names the language that it wants.
 ASKED = {
@@ -150,11 +158,21 @@ def _stop() -> dict[str, frozenset[str]]:
     return {k: frozenset(v.split()) for k, v in STOPWORDS.items()}
 
 
+def declines_by_class(tokens: list[str]) -> bool:
+    """An automaton over word classes: the speaker, then a refusal and an act of answering, each at most REACH words on."""
+    for i, t in enumerate(tokens):
+        if t in SELF:
+            for j in range(i + 1, min(len(tokens), i + 1 + REACH)):
+                if tokens[j] in DENIES and any(x in ACTS for x in tokens[j + 1 : j + 1 + REACH]):
+                    return True
+    return False
+
+
 def is_refusal(answer: str) -> bool:
     """The first sentence declines and nothing of substance follows."""
     sentences = re.split(r"(?<=[.!?])\s+", answer.strip())
     a = refusal_automaton()
-    declines = [any(True for _ in a.iter(f" {' '.join(words(s))} ")) for s in sentences]
+    declines = [any(True for _ in a.iter(f" {' '.join(w)} ")) or declines_by_class(w) for w in map(words, sentences)]
     if not any(declines[:2]):
         return False
     rest = [s for s, d in zip(sentences, declines) if not d]
@@ -192,7 +210,7 @@ def is_truncated(answer: str) -> bool:
         return False
     last = re.split(r"(?<=[.!?:])\s+", line)[-1]
     tokens = words(last)
-    if len(tokens) >= 4 and sum(t in v for t in tokens for v in (frozenset().union(*_stop().values()),)) >= 1:
+    if (len(tokens) > 4 or len(tokens) == 4 and (tokens[0] in BEGINS or len(tokens[-1]) < 3)) and sum(t in v for t in tokens for v in (frozenset().union(*_stop().values()),)) >= 1:
         return True
     # a fragment that begins a new sentence after a whole one
     return bool(tokens) and last != s and "\n" not in s and bool(re.search(r"[.!?]\s+\S+(?:\s+\S+)*$", s)) and len(s) > 60

@@ -38,3 +38,17 @@ def test_rows(spark):
     got = {r.query_id: r.defect for r in P.find_defects(df).collect()}
     assert got == {i: w for i, (_, _, w) in enumerate(CASES) if w}
     assert P.find_defects(df.where("query_id < 0")).count() == 0
+
+
+def test_wider_refusals_and_short_answers():
+    assert P.defect("What is the risk?", "I must refuse to give legal opinions.") == "refusal"
+    assert P.defect("What is the risk?", "Sorry, that is outside what I can do.") == "refusal"
+    assert P.defect("What is the risk?", "We would rather not comment on the price.") == "refusal"
+    assert P.defect("Can the contract be transferred?", "It cannot be transferred without the consent of the seller.") is None
+    assert P.defect("How long is the warranty?", "Twelve months from signature") is None
+    assert P.defect("How long is the warranty?", "The warranty of the") == "truncated"
+
+
+def test_spanish_is_no_french():
+    assert P.defect("¿Cuánto dura la garantía de cartuchos de filtro?", "El fabricante concede 25 meses de garantía para cartuchos de filtro desde la recepción.") is None
+    assert P.defect("¿Cuánto dura la garantía de cartuchos de filtro?", "Le fabricant accorde 25 mois de garantie sur les cartouches.") == "other_language"
