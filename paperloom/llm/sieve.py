@@ -23,7 +23,12 @@ def code(s: str) -> int:
 
 def build(strings: DataFrame, col: Column) -> tuple[bytes, int]:
     """(bitmap, mask) of the values of `col`; null values are left out."""
-    values = strings.select(F.crc32(col.cast("binary")).alias("h")).where("h is not null")
+    return build_codes(strings, F.crc32(col.cast("binary")))
+
+
+def build_codes(df: DataFrame, code: Column) -> tuple[bytes, int]:
+    """(bitmap, mask) of hash codes by their lowest bits."""
+    values = df.select(code.alias("h")).where("h is not null")
     n = values.agg(F.approx_count_distinct("h")).first()[0] or 0
     bits = min(MOST, max(LEAST, (16 * n).bit_length()))
     mask = (1 << bits) - 1
