@@ -172,10 +172,14 @@ def is_refusal(answer: str) -> bool:
     """The first sentence declines and nothing of substance follows."""
     sentences = re.split(r"(?<=[.!?])\s+", answer.strip())
     a = refusal_automaton()
-    declines = [any(True for _ in a.iter(f" {' '.join(w)} ")) or declines_by_class(w) for w in map(words, sentences)]
-    if not any(declines[:2]):
+
+    def declines(sentence: str) -> bool:
+        w = words(sentence)
+        return any(True for _ in a.iter(f" {' '.join(w)} ")) or not SELF.isdisjoint(w) and declines_by_class(w)
+
+    if not any(declines(s) for s in sentences[:2]):
         return False
-    rest = [s for s, d in zip(sentences, declines) if not d]
+    rest = [s for s in sentences if not declines(s)]
     return all(len(words(s)) <= 7 and not re.search(r"\d", s) for s in rest)
 
 
