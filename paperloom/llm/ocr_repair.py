@@ -539,6 +539,15 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
     return found.select(rec[0].alias("record_table"), F.col("id").alias("record_id"), rec[1].alias("field_name"), "noise_kind", "line_no", "repaired")
 
 
+def _nearest(words: list[str], reading: str) -> int | None:
+    """The first of the words that need fewest edits to become the reading, which itself is none."""
+    for k in (1, 2, 3, 4):
+        for j, w in enumerate(words):
+            if w != reading and osa(w, reading, k) <= k:
+                return j
+    return min((j for j, w in enumerate(words) if w != reading), default=None)
+
+
 def repair_text(text: str, events: list[tuple[int, str, str]]) -> str:
     """Readable paragraphs: furniture lines out, readings in, broken words joined, lines of a paragraph joined.
 
@@ -567,7 +576,7 @@ def repair_text(text: str, events: list[tuple[int, str, str]]) -> str:
             tokens[0], carry = whole + tail, None
         for kind, repaired in kinds:
             if kind == "misread":
-                j = min(range(len(tokens)), key=lambda j: osa(bare(tokens[j]), repaired, 4) if bare(tokens[j]) != repaired else 9, default=None)
+                j = _nearest([bare(t) for t in tokens], repaired)
                 if j is not None:
                     core = tokens[j].lstrip(_LEFT).rstrip(_RIGHT)
                     new = repaired.upper() if core.isupper() and len(core) > 1 else repaired.capitalize() if core[:1].isupper() else repaired
