@@ -91,11 +91,11 @@ def validate_classes(spark, d):
 
 
 # ---- guards
-@q("guard_generation", "SELECT query_id, round(CASE WHEN coalesce(answer,'')='' THEN 1.0 WHEN faithfulness IS NULL THEN 0.5 ELSE round(faithfulness,2) END,3) AS faithfulness, array_to_string(CASE WHEN coalesce(answer,'')='' THEN [] ELSE list_filter([CASE WHEN (CASE WHEN faithfulness IS NULL THEN 0.5 ELSE round(faithfulness,2) END)<0.6 THEN 'FM-G1' END, CASE WHEN len(scores)>5 THEN 'FM-G2' END], lambda x: x IS NOT NULL) END,'+') AS events FROM (SELECT query_id, any_value(answer) AS answer, any_value(faithfulness) AS faithfulness, any_value(scores) AS scores FROM query_log GROUP BY 1) WHERE len(scores)>0")
+@q("guard_generation", "SELECT query_id, round(CASE WHEN coalesce(answer,'')='' THEN 1.0 WHEN faithfulness IS NULL THEN 0.5 ELSE round(faithfulness,3) END,3) AS faithfulness, array_to_string(CASE WHEN coalesce(answer,'')='' THEN [] ELSE list_filter([CASE WHEN (CASE WHEN faithfulness IS NULL THEN 0.5 ELSE round(faithfulness,3) END)<0.6 THEN 'FM-G1' END, CASE WHEN len(scores)>5 THEN 'FM-G2' END], lambda x: x IS NOT NULL) END,'+') AS events FROM (SELECT query_id, any_value(answer) AS answer, any_value(faithfulness) AS faithfulness, any_value(scores) AS scores FROM query_log GROUP BY 1) WHERE len(scores)>0")
 def guard_generation(spark, d):
     """The logged score as the judge's reply, the logged scores as the retrieved chunks."""
     l = table(spark, d, "query_log").where(F.size("scores") > 0).dropDuplicates(["query_id"])
-    reply = F.concat(F.lit("Score: "), F.format_string("%.2f", F.round("faithfulness", 2)))
+    reply = F.concat(F.lit("Score: "), F.format_string("%.3f", F.round("faithfulness", 3)))
     g = rules.guard_generation(l.select("query_id", "answer", F.size("scores").alias("n"), F.when(F.col("faithfulness").isNotNull(), reply).alias("reply")), "query_id", "answer", "n", "reply")
     return g.select("query_id", "faithfulness", F.array_join("events", "+").alias("events"))
 
