@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import embed, parse_score, strip, tokens, uuid_of
 from paperloom.operators import chunking, rules, search
-from paperloom.session import cut, table
+from paperloom.session import cut, spread, table
 
 Q: dict[str, tuple] = {}
 
@@ -188,7 +188,7 @@ BM = """tk AS (SELECT query_id, id, unnest(string_split_regex(lower(ch.t),'\\s+'
 
 def chunks(spark, d, of: DataFrame | None = None) -> DataFrame:
     """(id, doc_id, text) of all chunks, or of the documents `of` (doc_id)."""
-    t = docs(spark, d) if of is None else docs(spark, d).join(of, "doc_id", "left_semi")
+    t = spread(docs(spark, d)) if of is None else docs(spark, d).join(of, "doc_id", "left_semi")  # embedding is shared among tasks
     return chunking.fixed(t, "doc_id").select((F.col("doc_id") * CHUNKS + F.col("chunk_index")).alias("id"), "doc_id", F.col("chunk").alias("text"))
 
 
