@@ -87,12 +87,45 @@ def _texts(b: DataFrame, key: str) -> DataFrame:
     return _edges(b, key, "CHILD").join(words, [key, "dst"]).groupBy(key, "src").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "Text"))), lambda x: x["Text"]), " ").alias("text"))
 
 
+def _children(block: Column) -> Column:
+    """Ids of the CHILD relationships of a block, in order."""
+    ids = F.transform(F.filter(block["Relationships"], lambda r: r["Type"] == "CHILD"), lambda r: F.coalesce(r["Ids"], F.array().cast("array<string>")))
+    return F.coalesce(F.flatten(ids), F.array().cast("array<string>"))
+
+
+def _by_id(own: str, ids: str, value) -> Column:
+    """Map from Id to value(block) of the blocks in column `own`; of several blocks with one Id the last wins."""
+    n = F.size(own)
+    last = F.filter(own, lambda b, i: F.array_position(F.reverse(ids), b["Id"]) == n - i)
+    one = F.when(F.size(F.array_distinct(ids)) < n, last).otherwise(F.col(own))
+    return F.map_from_entries(F.transform(one, lambda b: F.struct(b["Id"], value(b))))
+
+
+def _cells(df: DataFrame, key: str, blocks: str) -> DataFrame:
+    """table_cells of whole responses (key, array of blocks), each resolved inside its row: no join, so nothing is broadcast."""
+    kind = lambda k: F.filter(blocks, lambda b: (b["BlockType"] == k) & b["Id"].isNotNull())
+    ids = lambda c: F.transform(c, lambda b: b["Id"])
+    # one select after the other, as what a lambda reads must be there as a column
+    d = df.select(key, kind("TABLE").alias("_t"), kind("CELL").alias("_c"), kind("WORD").alias("_w"))
+    d = d.select(key, "_t", "_c", "_w", ids("_c").alias("_ci"), ids("_w").alias("_wi"))
+    d = d.select(key, "_t", _by_id("_c", "_ci", lambda b: F.struct(b["RowIndex"].alias("row"), b["ColumnIndex"].alias("col"), _children(b).alias("ids"))).alias("_c"), _by_id("_w", "_wi", lambda b: b["Text"]).alias("_w"))
+    d = d.select(key, "_c", "_w", F.explode("_t").alias("_t"))
+    text = lambda c: F.array_join(F.transform(c["ids"], lambda i: F.try_element_at("_w", i)), " ")
+    found = F.filter(F.transform(_children(F.col("_t")), lambda i: F.try_element_at("_c", i)), lambda c: c.isNotNull())
+    cells = F.transform(found, lambda c: F.struct(c["row"].alias("row"), c["col"].alias("col"), text(c).alias("text")))
+    return d.select(key, F.col("_t.Id").alias("table_id"), F.explode(cells).alias("v")).select(key, "table_id", "v.*")
+
+
 def table_cells(b: DataFrame, key: str) -> DataFrame:
-    """(key, table_id, row, col, text) of all tables: table -> cells -> words by id."""
-    tables = b.where("BlockType = 'TABLE'").select(key, F.col("block_id").alias("src"))
-    cells = b.where("BlockType = 'CELL'").select(key, F.col("block_id").alias("dst"), "RowIndex", "ColumnIndex")
-    t = _edges(b, key, "CHILD").join(tables, [key, "src"]).join(cells, [key, "dst"])
-    return t.select(key, F.col("src").alias("table_id"), F.col("RowIndex").alias("row"), F.col("ColumnIndex").alias("col"), F.col("dst").alias("src")).join(_texts(b, key), [key, "src"], "left").select(key, "table_id", "row", "col", F.coalesce("text", F.lit("")).alias("text"))
+    """(key, table_id, row, col, text) of all tables: table -> cells -> words by id, within one response (bounded by its key)."""
+    block = F.struct(F.col("block_id").alias("Id"), *[F.col(c) for c in ("BlockType", "Text", "RowIndex", "ColumnIndex", "Relationships")])
+    used = b.where(F.col(key).isNotNull() & F.col("BlockType").isin("TABLE", "CELL", "WORD"))
+    return _cells(used.groupBy(key).agg(F.collect_list(block).alias("_b")), key, "_b")
+
+
+def response_cells(df: DataFrame, key: str, body: str) -> DataFrame:
+    """table_cells straight from the responses, a row each: nothing is written, shuffled or joined."""
+    return _cells(df.select(key, F.from_json(body, BLOCKS).alias("_b")), key, "_b")
 
 
 def form_pairs(b: DataFrame, key: str) -> DataFrame:

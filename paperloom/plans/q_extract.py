@@ -149,7 +149,7 @@ CELLS = "(SELECT l_orderkey, row, unnest([1,2,3]) AS col, unnest([l_linenumber::
 
 @q("ocr_tables", f"SELECT l_orderkey, row, col, text FROM {CELLS}")
 def ocr_tables(spark, d):
-    return doc.table_cells(doc.blocks(table_responses(spark, d), "l_orderkey", "body"), "l_orderkey").select("l_orderkey", "row", "col", "text")
+    return doc.response_cells(table_responses(spark, d), "l_orderkey", "body").select("l_orderkey", "row", "col", "text")
 
 
 @q("table_markdown", f"SELECT l_orderkey, md5(string_agg(line,chr(10) ORDER BY row)) AS md5 FROM (SELECT l_orderkey, row, '| '||string_agg(text,' | ' ORDER BY col)||' |'||CASE WHEN row=1 THEN chr(10)||'| --- | --- | --- |' ELSE '' END AS line FROM {CELLS} GROUP BY l_orderkey, row) GROUP BY 1")
