@@ -137,14 +137,17 @@ def form_pairs(b: DataFrame, key: str) -> DataFrame:
 
 
 def markdown(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, markdown) of cells (keys, row, col, text), rows and columns from 1; a rule follows the first row, the last text of a cell wins."""
+    """(keys, markdown) of cells (keys, row, col, text), rows and columns from 1; a rule follows the first row, the last text of a cell wins.
+
+    No join with the tables' sizes: cells that lie by the first key already are not shuffled again.
+    """
     one = cells.groupBy(*keys, "row", "col").agg(F.max("text").alias("text"))
-    size = one.groupBy(*keys).agg(F.max("col").alias("cols"))
-    rows = one.groupBy(*keys, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m")).join(size, keys)
-    line = F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(1), F.col("cols")), lambda c: F.coalesce(F.col("m")[c], F.lit(""))), " | "), F.lit(" |"))
+    rows = one.groupBy(*keys, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m"), F.max("col").alias("cols"))
+    t = rows.groupBy(*keys).agg(F.collect_list(F.struct("row", "m")).alias("rows"), F.max("cols").alias("cols"))
+    line = lambda m: F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(1), F.col("cols")), lambda c: F.coalesce(m[c], F.lit(""))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("cols")), " | "), F.lit(" |"))
-    rows = rows.select(*keys, "row", F.when(F.col("row") == 1, F.concat(line, F.lit("\n"), rule)).otherwise(line).alias("line"))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("markdown"))
+    lines = F.transform("rows", lambda r: F.struct(r["row"].alias("row"), F.when(r["row"] == 1, F.concat(line(r["m"]), F.lit("\n"), rule)).otherwise(line(r["m"])).alias("line")))
+    return t.select(*keys, F.array_join(F.transform(F.array_sort(lines), lambda x: x["line"]), "\n").alias("markdown"))
 
 
 # ---- layout of pages given as text boxes

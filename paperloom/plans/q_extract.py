@@ -154,7 +154,7 @@ def ocr_tables(spark, d):
 
 @q("table_markdown", f"SELECT l_orderkey, md5(string_agg(line,chr(10) ORDER BY row)) AS md5 FROM (SELECT l_orderkey, row, '| '||string_agg(text,' | ' ORDER BY col)||' |'||CASE WHEN row=1 THEN chr(10)||'| --- | --- | --- |' ELSE '' END AS line FROM {CELLS} GROUP BY l_orderkey, row) GROUP BY 1")
 def table_markdown(spark, d):
-    c = doc.table_cells(doc.blocks(table_responses(spark, d), "l_orderkey", "body"), "l_orderkey")
+    c = doc.response_cells(table_responses(spark, d), "l_orderkey", "body")
     return doc.markdown(c, ["l_orderkey", "table_id"]).select("l_orderkey", F.md5("markdown").alias("md5"))
 
 

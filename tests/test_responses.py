@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from paperloom.operators import documents as doc
 
 
-@pytest.mark.parametrize("name", ["ocr_tables"])
+@pytest.mark.parametrize("name", ["ocr_tables", "table_markdown"])
 def test_no_join(spark, name):
     df = entry.queries()[name](spark, oracle.DATA)
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -33,3 +33,4 @@ def test_odd_responses(spark):
     df = spark.createDataFrame([(1, json.dumps(blocks)), (2, "[]"), (3, None), (4, "broken")], "id int, body string")
     want = {(1, "t1", 1, 1, "two new"), (1, "t1", 2, 2, "new two"), (1, "t2", 1, 1, "new")}
     assert {tuple(r) for r in doc.response_cells(df, "id", "body").collect()} == want
+    assert {r.markdown for r in doc.markdown(doc.response_cells(df, "id", "body"), ["id", "table_id"]).collect()} == {"| two new |  |\n| --- | --- |\n|  | new two |", "| new |\n| --- |"}
